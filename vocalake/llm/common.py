@@ -16,12 +16,14 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="vocalake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _FALLBACK.get("folder") or _FALLBACK.setdefault("folder", tempfile.mkdtemp(prefix="vocalake-"))
     return found.rstrip("/")
 
 
