@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vocalake.llm import quality_rules
+from vocalake.llm import line_dedup, quality_rules, simhash
 from vocalake.llm.common import WORD
 from vocalake.sources.tables import table
 
@@ -35,16 +36,16 @@ g AS (
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS s(k) GROUP BY r),
 ln AS (
-  SELECT r, list_filter(string_split(txt, chr(10)), x -> regexp_matches(x, '{WORD}')) AS lines FROM d),
+  SELECT r, list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
 m AS (
   SELECT w.doc_id, len(words) AS n_words,
-    coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(txt, '[#*$%&|<>]')) AS n_symbols,
     len(regexp_extract_all(txt, '!')) AS n_exclamations,
-    len(list_filter(words, x -> x IN ({_sql_list(_STOP)}))) AS n_stop_words,
+    len(list_filter(words, lambda x: x IN ({_sql_list(_STOP)}))) AS n_stop_words,
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-    len(list_filter(lines, x -> ends_with(x, '...') OR ends_with(x, '…'))) AS n_ellipsis_lines,
-    len(list_filter(lines, x -> regexp_matches(x, '^[\\x20\\x09]*[-*•‣]'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_ellipsis_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•‣]'))) AS n_bullet_lines,
     coalesce(c.n, 0) AS n_repeat_words
   FROM w JOIN ln USING (r) LEFT JOIN covered c USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
@@ -58,9 +59,45 @@ FROM b
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cleaned = line_dedup.clean_lines(docs, F.col("source"), "text")
+    text = F.col("row.text")
+    return cleaned.select("row.doc_id", "row.lang", "row.source", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_dropped")
+
+
+#: White space goes from the ends of a line before it is compared.
+_TRIM = "trim(ln, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+ln AS (
+  SELECT r, source, i, lines[i] AS ln, regexp_matches(lines[i], '{WORD}') AS word
+  FROM (SELECT r, source, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT r, source, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL))),
+seen AS (SELECT source, {_TRIM} AS k, count(DISTINCT r) AS holding FROM ln WHERE word GROUP BY ALL),
+bad AS (
+  SELECT s.source, k FROM seen s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+  WHERE holding >= {line_dedup.MIN_PAGES} AND holding > {line_dedup.RATIO} * pages),
+marked AS (
+  SELECT r, i, ln, word AND b.k IS NOT NULL AS gone
+  FROM ln LEFT JOIN bad b ON b.source IS NOT DISTINCT FROM ln.source AND b.k = {_TRIM}),
+kept AS (
+  SELECT r, coalesce(string_agg(ln, chr(10) ORDER BY i) FILTER (NOT gone), '') AS clean,
+    count(*) FILTER (gone) AS n FROM marked GROUP BY r)
+SELECT doc_id, lang, source, clean AS text, length(clean)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {"op4_quality_rules": op4_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_line_dedup": OP7_SQL}
