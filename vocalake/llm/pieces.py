@@ -14,12 +14,11 @@ that of the merges. Characters without a piece become their bytes.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +63,25 @@ def _model_type(data: bytes) -> int:
 
 
 class Lattice:
-    """Segments words by a table of pieces (text -> id) and their scores."""
+    """Segments words by a table of pieces (text -> id) and their scores.
 
-    def __init__(self, ids: dict[str, int], score: dict[str, float], merges: bool):
-        self.ids, self.score, self.merges = ids, score, merges
-        self.longest = max(map(len, ids), default=1)
-        self.unknown = min(score.values(), default=0.0) - 10.0
-        self.pairs: dict[tuple[str, str], bool] = {}
+    Pieces that may still grow are followed through a trie of the pieces, from each place of the word
+    where one started; those places and trie nodes are part of a prefix's state. unknown is the id
+    that stands for a character without a piece.
+    """
+
+    def __init__(self, ids: dict[str, int], score: dict[str, float], merges: bool, unknown: int = -1):
+        self.ids, self.score, self.merges, self.unknown = ids, score, merges, unknown
+        self.penalty = min(score.values(), default=0.0) - 10.0
+        self.names = {k: p for p, k in ids.items()}
+        self.by_id = {k: score[p] for p, k in ids.items()}
+        self.pairs: dict[int, bool] = {}
+        self.trie: dict = {}
+        for piece, k in ids.items():
+            node = self.trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            node[""] = k
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a text: again and again the best-scored pair, the leftmost of equals."""
@@ -86,45 +97,65 @@ class Lattice:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            known = self.merged(left + right) == [left, right] if left else self.merged(right) == [right]
-            self.pairs[left, right] = known
-        return known
-
-    def segment(self, words: Iterable[str]) -> Iterator[list[str]]:
-        """Of each word in sorted order, its pieces; a character without a piece stands for itself."""
-        known, longest, merges = self.ids, self.longest, self.merges
-        last, best = [""], [0.0]  # by prefix length: the piece that ends it, its forward score
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether the merges leave these pieces side by side; left is -1 where nothing can merge from the left."""
+        a, b = self.names.get(left, ""), self.names[right]
+        if len(self.pairs) >= _PAIRS:
+            self.pairs.clear()
+        self.pairs[(left + 1) << 32 | right] = fits = self.merged(a + b) == ([a, b] if a else [b])
+        return fits
+
+    def segment(self, words: list[str]) -> tuple[list[int], list[int], list[str]]:
+        """Words in sorted order to (ids of all pieces, pieces per word, the characters that `unknown` stands for, in order)."""
+        root, pairs, unknown, merges, scores = self.trie, self.pairs, self.unknown, self.merges, self.by_id
+        flat, sizes, strange = [], [], []
+        # by prefix length: id of the piece that ends the prefix, where it starts, forward score, growing pieces
+        last, begin, best, growing = [-1], [0], [0.0], [[]]
         before = ""
         for word in words:
             same, most = 0, min(len(before), len(word))
             while same < most and before[same] == word[same]:
                 same += 1
-            del last[same + 1 :], best[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                found, top = None, -np.inf
-                for size in range(min(longest, end), 0, -1):
-                    piece = word[end - size : end]
-                    if piece not in known and size > 1:
+            keep = same + 1
+            del last[keep:], begin[keep:], best[keep:], growing[keep:]
+            for end in range(same, len(word)):
+                ch = word[end]
+                grown, found, at, top = [], unknown, end, None
+                for start, node in (*growing[end], (end, root)):
+                    node = node.get(ch)
+                    if node is None:
+                        continue
+                    grown.append((start, node))
+                    piece = node.get("")
+                    if piece is None:
                         continue
                     if merges:
-                        if last[end - size] is not None and self.fits(last[end - size], piece):
-                            found = piece
-                            break
-                    elif (s := best[end - size] + (self.score[piece] if piece in known else self.unknown)) > top:
-                        found, top = piece, s
+                        if top is None:
+                            fits = pairs.get((last[start] + 1) << 32 | piece)
+                            if fits or fits is None and self._fits(last[start], piece):
+                                found, at, top = piece, start, 0.0
+                    elif top is None or best[start] + scores[piece] > top:
+                        found, at, top = piece, start, best[start] + scores[piece]
+                if top is None or not merges and root.get(ch, root).get("") is None and best[end] + self.penalty > top:
+                    found, at, top = unknown, end, best[end] + self.penalty
                 last.append(found)
+                begin.append(at)
                 best.append(top)
+                growing.append(grown)
             before = word
-            parts, at = [], len(word)
-            while at and (piece := last[at]) is not None:
-                parts.append(piece)
-                at -= len(piece)
-            yield parts[::-1] if not at else self.merged(word)
+            own, end = [], len(word)
+            while end:
+                own.append(last[end])
+                if last[end] == unknown:
+                    strange.append(word[end - 1])
+                end = begin[end]
+            own.reverse()
+            flat += own
+            sizes.append(len(own))
+            if unknown in own:
+                k = own.count(unknown)
+                strange[-k:] = reversed(strange[-k:])
+        return flat, sizes, strange
 
 
 class Codec:
@@ -143,42 +174,77 @@ class Codec:
         self.lattice = Lattice(own, {p: sp.get_score(k) for p, k in own.items()}, kind == _BPE)
         self.raw = [bytes([int(names[k][3:5], 16)]) if sp.is_byte(k) else b" \xe2\x81\x87 " if k == self.unk else b"" if special[k] else names[k].encode() for k in range(n)]
 
-    def _numbers(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for piece in pieces:
-            k = self.lattice.ids.get(piece)
-            if k is not None:
-                out.append(k)
-            elif self.byte:
-                out += [self.byte[b] for b in piece.encode()]
-            elif not out or out[-1] != self.unk:
-                out.append(self.unk)
-        return out
+    def _spelled(self, flat: list[int], sizes: list[int], strange: list[str]) -> tuple[list[int], list[int]]:
+        """The ids with bytes, or one unknown id for a run, in place of characters without a piece."""
+        out, counts, at, chars = [], [], 0, iter(strange)
+        for size in sizes:
+            start = len(out)
+            for k in flat[at : at + size]:
+                if k >= 0:
+                    out.append(k)
+                    continue
+                ch = next(chars)
+                if self.byte:
+                    out += [self.byte[b] for b in ch.encode()]
+                elif len(out) == start or out[-1] != self.unk:
+                    out.append(self.unk)
+            counts.append(len(out) - start)
+            at += size
+        return out, counts
+
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(unit numbers of all texts, the distinct units, units per text, whether a text is only marked)."""
+        normal = [self.processor.normalize(t) if t else "" for t in texts]
+        marked = np.array([n == (MARK + t.replace(" ", MARK) if t else "") and MARK not in t for n, t in zip(normal, texts, strict=True)], dtype=bool)
+        plain = np.array([ok and not (t[:1] == " " or t[-1:] == " " or "  " in t) for ok, t in zip(marked, texts, strict=True)], dtype=bool)
+        # words between single blanks are split and numbered by Arrow; other texts unit by unit
+        split = pc.split_pattern(pa.array([t if ok and t else None for t, ok in zip(texts, plain, strict=True)], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = [MARK + w for w in coded.dictionary.to_pylist()]
+        number = dict(zip(words, range(len(words)), strict=True))
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fast, at, parts = coded.indices.to_numpy(zero_copy_only=False), 0, []
+        for k, text in enumerate(normal):
+            if plain[k]:
+                parts.append(fast[at : at + counts[k]])
+                at += counts[k]
+            else:
+                units = _UNITS.findall(text)
+                counts[k] = len(units)
+                parts.append(np.array([number.setdefault(u, len(number)) for u in units], dtype=np.int32))
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), list(number), counts, marked
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text, whether decoding gives the text), each distinct unit segmented once."""
+        rows, units, counts, marked = self._units(texts)
+        order = np.array(sorted(range(len(units)), key=units.__getitem__), dtype=np.int64)
+        words = [units[k] for k in order.tolist()]
+        flat, sizes, strange = self.lattice.segment(words)
+        if strange:
+            flat, sizes = self._spelled(flat, sizes, strange)
+        ids = np.array(flat, dtype=np.int32)
+        ends = np.cumsum(np.array(sizes, dtype=np.int64))
+        size, start = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+        size[order], start[order] = sizes, ends - np.array(sizes, dtype=np.int64)
+        back = np.ones(len(units), dtype=bool)
+        spelled = list(map(self.raw.__getitem__, flat))
+        low = 0
+        for k, word, high in zip(order.tolist(), words, ends.tolist(), strict=True):
+            back[k] = b"".join(spelled[low:high]) == word.encode()
+            low = high
+        own = size[rows]
+        until = np.cumsum(own)
+        total = int(until[-1]) if len(own) else 0
+        tokens = ids[np.repeat(start[rows] - (until - own), own) + np.arange(total)]
+        text = np.repeat(np.arange(len(texts)), counts)
+        per_text = np.bincount(text, weights=own, minlength=len(texts)).astype(np.int64)
+        lost = np.bincount(text, weights=~back[rows], minlength=len(texts))
+        return tokens, per_text, marked & (lost == 0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, each distinct marked word segmented once."""
-        number: defaultdict[str, int] = defaultdict(count().__next__)
-        rows = []
-        for text in texts:
-            units = _UNITS.findall(self.processor.normalize(text)) if text else []
-            rows.append(np.fromiter(map(number.__getitem__, units), dtype=np.int32, count=len(units)))
-        words = sorted(number)
-        order = np.array([number[w] for w in words], dtype=np.int64)
-        size, flat = np.zeros(len(words), dtype=np.int64), []
-        for k, pieces in zip(order.tolist(), self.lattice.segment(words), strict=True):
-            ids = self._numbers(pieces)
-            size[k] = len(ids)
-            flat.append(np.array(ids, dtype=np.int32))
-        start = np.zeros(len(words), dtype=np.int64)
-        start[order] = np.r_[0, np.cumsum(size[order])[:-1]] if len(words) else start
-        flat_ids = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
-        out = []
-        for row in rows:
-            sizes = size[row]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(row) else 0
-            out.append(flat_ids[np.repeat(start[row] - (ends - sizes), sizes) + np.arange(total)])
-        return out
+        """The ids of each text."""
+        tokens, sizes, _ = self.encode_all(texts)
+        return np.split(tokens, np.cumsum(sizes)[:-1]) if texts else []
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, without the mark that encoding puts in front."""
@@ -204,7 +270,21 @@ def read_model(path: str = MODEL) -> bytes:
 
 
 #: Documents encoded together; memory grows with their distinct words.
-TOGETHER = 4096
+TOGETHER = 8192
+
+
+def decoded(rows: DataFrame, ids: str = "token_ids", to: str = "decoded", model: bytes | None = None) -> DataFrame:
+    """rows' columns, then the text of the ids; null ids give the empty text."""
+    data = model or read_model()
+    at, schema = rows.columns.index(ids), T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(data)
+        for batch in source:
+            texts = [own.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
+
+    return rows.mapInArrow(batches, schema)
 
 
 def encoded(docs: DataFrame, text: str = "text", model: bytes | None = None, prefix: str = "") -> DataFrame:
@@ -228,11 +308,9 @@ def encoded(docs: DataFrame, text: str = "text", model: bytes | None = None, pre
             for low in range(0, large.num_rows, TOGETHER):
                 batch = large.slice(low, TOGETHER)
                 texts = [x or "" for x in batch.column(at).to_pylist()]
-                rows = own.encode(texts)
-                sizes = np.array([len(r) for r in rows], dtype=np.int64)
+                tokens, sizes, same = own.encode_all(texts)
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)))
-                same = [own.decode(r.tolist()) == t for r, t in zip(rows, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(sizes), pa.array(same, pa.bool_())], [*batch.schema.names, *names])
+                ids = pa.ListArray.from_arrays(offsets, pa.array(tokens))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(sizes), pa.array(same)], [*batch.schema.names, *names])
 
     return docs.mapInArrow(batches, schema)
