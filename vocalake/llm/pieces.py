@@ -13,8 +13,10 @@ that of the merges. Characters without a piece become their bytes.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -76,12 +78,18 @@ class Lattice:
         self.names = {k: p for p, k in ids.items()}
         self.by_id = {k: score[p] for p, k in ids.items()}
         self.pairs: dict[int, bool] = {}
-        self.trie: dict = {}
-        for piece, k in ids.items():
-            node = self.trie
-            for ch in piece:
-                node = node.setdefault(ch, {})
-            node[""] = k
+        #: first character -> (id or None, next character -> ... or None)
+        self.trie = self._grown(sorted(ids), 0)
+
+    def _grown(self, pieces: list[str], depth: int) -> dict:
+        """The trie of sorted pieces that agree in their first `depth` characters and are longer."""
+        nodes: dict = {}
+        for ch, group in groupby(pieces, key=lambda p: p[depth]):
+            own = list(group)
+            whole = self.ids[own[0]] if len(own[0]) == depth + 1 else None
+            rest = own[1:] if whole is not None else own
+            nodes[ch] = (whole, self._grown(rest, depth + 1) if rest else None)
+        return nodes
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a text: again and again the best-scored pair, the leftmost of equals."""
@@ -121,12 +129,14 @@ class Lattice:
             for end in range(same, len(word)):
                 ch = word[end]
                 grown, found, at, top = [], unknown, end, None
-                for start, node in (*growing[end], (end, root)):
-                    node = node.get(ch)
-                    if node is None:
+                active = growing[end]
+                active.append((end, root))
+                for start, nodes in active:
+                    if ch not in nodes:
                         continue
-                    grown.append((start, node))
-                    piece = node.get("")
+                    piece, nodes = nodes[ch]
+                    if nodes is not None:
+                        grown.append((start, nodes))
                     if piece is None:
                         continue
                     if merges:
@@ -136,7 +146,8 @@ class Lattice:
                                 found, at, top = piece, start, 0.0
                     elif top is None or best[start] + scores[piece] > top:
                         found, at, top = piece, start, best[start] + scores[piece]
-                if top is None or not merges and root.get(ch, root).get("") is None and best[end] + self.penalty > top:
+                active.pop()
+                if top is None or not merges and (ch not in root or root[ch][0] is None) and best[end] + self.penalty > top:
                     found, at, top = unknown, end, best[end] + self.penalty
                 last.append(found)
                 begin.append(at)
@@ -219,7 +230,13 @@ class Codec:
         rows, units, counts, marked = self._units(texts)
         order = np.array(sorted(range(len(units)), key=units.__getitem__), dtype=np.int64)
         words = [units[k] for k in order.tolist()]
-        flat, sizes, strange = self.lattice.segment(words)
+        collects = gc.isenabled()
+        gc.disable()  # the states hold no cycles, and scanning them again and again takes half of the time
+        try:
+            flat, sizes, strange = self.lattice.segment(words)
+        finally:
+            if collects:
+                gc.enable()
         if strange:
             flat, sizes = self._spelled(flat, sizes, strange)
         ids = np.array(flat, dtype=np.int32)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalake.llm import line_dedup, quality_rules, simhash
+from vocalake.llm import line_dedup, mixing, pieces, quality_rules, simhash
 from vocalake.llm.common import WORD
 from vocalake.sources.tables import table
 
@@ -95,8 +95,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_simhash": op9_simhash}
+    return {
+        "op2_mixing": op2_mixing,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_quality_rules": op4_quality_rules,
+        "op7_line_dedup": op7_line_dedup,
+        "op9_simhash": op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
