@@ -9,6 +9,7 @@ Every draw and permutation is a function of the seed, so that reruns and lost ex
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,7 +178,7 @@ def draw_slots(shards: DataFrame, sources: list[Source], block: int = BLOCK, slo
 
 
 def streams(docs: DataFrame, source: str, key: str, text: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, list[tuple]]:
-    """(key, source, size, start) per row, start being its place in its source's stream, and (source, size) by code point, null last.
+    """(key, hash, source, size, start) per row, start being its place in its source's stream, and (source, size) by code point, null last.
 
     The stream is ordered by a hash bucket, key, text hash and size. Running sums are made within each
     bucket and over the buckets' sums, so that a source with most rows is no single task. The driver
@@ -199,7 +200,7 @@ def streams(docs: DataFrame, source: str, key: str, text: str, bucket_rows: int
     placed = sized.repartition("bucket").withColumn("within", F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     sums = sums.withColumnsRenamed({"source": "of", "bucket": "at"})
     placed = placed.join(sums, (placed["bucket"] == sums["at"]) & placed["source"].eqNullSafe(sums["of"]))
-    return placed.select("key", "source", "size", (F.col("base") + F.col("within")).alias("start")), found
+    return placed.select("key", "hash", "source", "size", (F.col("base") + F.col("within")).alias("start")), found
 
 
 def _numbered(names: list[str | None], column: Column) -> Column:
@@ -218,9 +219,9 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(pieces, placed): what the mix takes, and every row with its size and its source's size and target.
 
-    pieces: (shard, source, block, key, start, size, from_word, to_word), a row per slot and document
-    whose words it holds; from_word and to_word are places in the document. placed: (key, source, size,
-    source_size, target, start). Null and empty texts have size 0 and are never taken. Null sources are
+    pieces: (shard, number, source, block, key, hash, start, size, from_word, to_word), a row per slot and document
+    whose words it holds; from_word and to_word are places in the document. placed: (number, key, hash, source,
+    size, start, source_size, target). Null and empty texts have size 0 and are never taken. Null sources are
     one source, the last. Repeated rows are taken each for itself. An empty table gives empty tables.
     """
     placed, found = streams(docs, source, key, text)
@@ -236,13 +237,13 @@ def mix(
     shards = spark.range(-(-total // slots)).withColumnRenamed("id", "shard")
     drawn = draw_slots(shards, plan, block, slots, seed).withColumnsRenamed({"source": "number"})
     whole = placed.filter("size > 0").select(
-        "number", "source", "key", "start", "size",
+        "number", "source", "key", "hash", "start", "size",
         F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"),
     )
     met = drawn.join(whole, ["number", "block"])
     low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     high = F.least(F.col("block") * block + F.col("take") - F.col("start"), F.col("size"))
-    pieces = met.select("shard", "number", "source", "block", "key", "start", "size", low.alias("from_word"), high.alias("to_word"))
+    pieces = met.select("shard", "number", "source", "block", "key", "hash", "start", "size", low.alias("from_word"), high.alias("to_word"))
     return pieces.filter("to_word > from_word"), placed
 
 
@@ -253,3 +254,57 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     sums = sums.withColumnsRenamed({"number": "n", "start": "s", "size": "z"})
     out = placed.join(sums, (placed["number"] == sums["n"]) & (placed["start"] == sums["s"]) & (placed["size"] == sums["z"]), "left")
     return out.select("key", "source", "start", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+_WORDS = re.compile("[^\x20\x09-\x0D]+")
+
+
+def layers(spans: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
+    """Spans (block, from, to) as texts to write: the k-th time a block is taken belongs to text k; neighbours are joined."""
+    out: list[list[tuple[int, int]]] = []
+    seen: dict[int, int] = {}
+    for block, low, high in sorted(spans, key=lambda s: (s[0], -s[2])):
+        k = seen[block] = seen.get(block, -1) + 1
+        if k == len(out):
+            out.append([])
+        if out[k] and out[k][-1][1] == low:
+            out[k][-1] = (out[k][-1][0], high)
+        else:
+            out[k].append((low, high))
+    return out
+
+
+def cut(text: str, runs: list[tuple[int, int]], size: int) -> str:
+    """The runs of words with the white space inside them, one below the other; the text itself if that is all of it."""
+    if runs == [(0, size)]:
+        return text
+    at = [m.span() for m in _WORDS.finditer(text)]
+    return "\n".join(text[at[low][0] : at[high - 1][1]] for low, high in runs)
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", chars: str = "n_chars", **how) -> DataFrame:
+    """The mix as documents: docs' columns, the text being the words taken, n_chars (if there) its length.
+
+    A document taken twice gives two rows, one taken in part a row of that part, one not taken none.
+    Rows that repeat key and text must have been removed before.
+    """
+    pieces, _ = mix(docs, source, key, text, **how)
+    spans = pieces.groupBy("hash", "key", "size").agg(F.collect_list(F.struct("block", "from_word", "to_word")).alias("spans"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
+    met = row.join(spans, (row["h"] == spans["hash"]) & F.col(f"row.`{key}`").eqNullSafe(spans["key"]))
+    met = met.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("size").alias("__size"), F.col("spans").alias("__spans"))
+    names, at = docs.columns, docs.columns.index(text)
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            rows, texts = [], []
+            for k, (body, size, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in (at, len(names), len(names) + 1)), strict=True)):
+                for runs in layers([(s["block"], s["from_word"], s["to_word"]) for s in found]):
+                    rows.append(k)
+                    texts.append(cut(body, runs, size))
+            columns = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[: len(names)]]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = met.mapInArrow(batches, docs.schema)
+    return out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType)) if chars in names else out

@@ -156,3 +156,13 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = measured(docs, text).withColumn("failed", compile_rules(rules)).withColumn("base_failed", base)
     return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+
+
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs' rows that the rules keep, in docs' columns.
+
+    The test on the row number is always true; as it isn't deterministic, the optimizer leaves the
+    filter above the metrics and doesn't copy their expressions into it.
+    """
+    judged = judge(docs, text, rules)
+    return judged.select("row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("kept")).filter("kept").select("row.*")

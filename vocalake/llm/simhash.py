@@ -299,10 +299,10 @@ NEAR_DUPLICATES = Plan(shingle=5, longs=2, radius=11, parts=2, total=23)
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = NEAR_DUPLICATES) -> DataFrame:
     """docs with one row of each component, that with the smallest key, in docs' columns.
 
-    Rows without a key cannot be told apart and all stay. Of rows that repeat a key, one stays.
+    Of rows that repeat a key, one stays; of rows without a key, one of each text.
     """
     named = docs.filter(F.col(f"`{key}`").isNotNull())
     kept, last = unused("kept_key", docs.columns), components(named, key, text, plan)
     last = last.filter(F.col("key") == F.col("component_id")).select(F.col("key").alias(kept)).distinct()
     stay = named.join(last, named[key] == last[kept], "left_semi").dropDuplicates([key])
-    return stay.unionByName(docs.filter(F.col(f"`{key}`").isNull()))
+    return stay.unionByName(docs.filter(F.col(f"`{key}`").isNull()).dropDuplicates([text]))
