@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +28,14 @@ def speech_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"([{LETTERS}'\-]+|[^\s{LETTERS}])"), 1)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is named: it is bound as a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def drop_repeats(tokens: Column) -> Column:
     """Tokens without those that equal the one before."""
-    return F.filter(tokens, lambda t, i: (i == 0) | (t != F.get(tokens, i - 1)))
+    return once(tokens, lambda own: F.filter(own, lambda t, i: (i == 0) | (t != F.get(own, i - 1))))
 
 
 def most_repeated(tokens: Column) -> Column:
@@ -88,19 +95,31 @@ def _packed(pieces: Column, full) -> Column:
 
 
 def collapse_token_runs(tokens: Column, run: int = 5, longest: int = 10, keep: int = 2) -> Column:
-    """Runs of at least `run` equal tokens of at most `longest` characters shrink to `keep`."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"))
+    """Runs of at least `run` equal tokens of at most `longest` characters shrink to `keep`.
 
-    def close(s: Column) -> Column:
-        left = F.when((s["n"] >= run) & (F.length(s["last"]) <= longest), F.lit(keep)).otherwise(s["n"])
-        return F.when(s["n"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array_repeat(s["last"], left)))
+    A token goes if the `keep` tokens before it equal it and some `run` neighbours around it do.
+    """
+    return once(tokens, lambda own: _collapsed(own, run, longest, keep))
 
-    def step(s: Column, t: Column) -> Column:
-        more = F.struct(s["out"].alias("out"), s["last"].alias("last"), (s["n"] + 1).alias("n"))
-        new = F.struct(close(s).alias("out"), t.alias("last"), F.lit(1).alias("n"))
-        return F.when(s["last"].eqNullSafe(t), more).otherwise(new)
 
-    return F.aggregate(tokens, start, step, close)
+def _collapsed(tokens: Column, run: int, longest: int, keep: int) -> Column:
+
+    def same(t: Column, i: Column, by: int) -> Column:
+        return F.coalesce(F.get(tokens, i + by) == t, F.lit(False)) if by > 0 else F.coalesce((i + by >= 0) & (F.get(tokens, i + by) == t), F.lit(False))
+
+    def every(t: Column, i: Column, places: list[int]) -> Column:
+        out = F.lit(True)
+        for by in places:
+            out = out & same(t, i, by)
+        return out
+
+    def goes(t: Column, i: Column) -> Column:
+        some = F.lit(False)
+        for shift in range(run):
+            some = some | every(t, i, [by for by in range(shift - run + 1, shift + 1) if by])
+        return every(t, i, [-k for k in range(1, keep + 1)]) & (F.length(t) <= longest) & some
+
+    return F.filter(tokens, lambda t, i: ~goes(t, i))
 
 
 def collapse_repeats(text: Column) -> Column:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Scale of the cepstral distance in decibels.
 MCD_SCALE = 10.0 / np.log(10.0) * np.sqrt(2.0)
@@ -55,13 +56,13 @@ def cepstral_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(MCD_SCALE * np.mean(np.sqrt((gap * gap).sum(axis=1))))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_errors(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Edit distance of two token arrays."""
     return pd.Series([edit_distance(list(a), list(b)) for a, b in zip(reference, hypothesis, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compression_ratio(text: pd.Series) -> pd.Series:
     """Bytes over deflated bytes; 1 for the empty text."""
     packed = [t.encode() for t in text.fillna("")]

@@ -16,14 +16,17 @@ def lines(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(F.split(text, "\n")).alias("line")).filter(F.col("line").rlike(r"\S"))
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    found = F.transform(
+        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
+        lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram")),
+    )
+    return F.when(F.size(tokens) >= n, found).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+
 def ngrams(tokens: Column, order: int) -> Column:
     """All runs of 1..order tokens, joined by blanks."""
-    each = [
-        F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"))))
-        .otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
-        for n in range(1, order + 1)
-    ]
-    return F.concat(*each)
+    return F.concat(*[_runs(tokens, n) for n in range(1, order + 1)])
 
 
 def counts(corpus: DataFrame, order: int = 3, line: str = "line") -> DataFrame:
@@ -69,9 +72,9 @@ def logprob(asked: DataFrame, grams: DataFrame, standard: bool = False) -> DataF
         own = F.greatest(F.coalesce(F.col(f"{g}_n"), F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col(f"{k}_n")
         back = DISCOUNT * F.coalesce(F.col(f"{k}_f"), F.lit(0)) / F.col(f"{k}_n")
         low = F.when(F.coalesce(F.col(f"{k}_n"), F.lit(0)) == 0, low).otherwise(own + back * low)
-    found = each.select("w", "c1", "c2", F.log(F.greatest(low, F.lit(LEAST))).alias("logp"))
-    same = asked["w"].eqNullSafe(found["w"]) & asked["c1"].eqNullSafe(found["c1"]) & asked["c2"].eqNullSafe(found["c2"])
-    return asked.join(found, same).select(*[asked[c] for c in asked.columns], "logp")
+    found = each.select(F.col("w").alias("w_"), F.col("c1").alias("c1_"), F.col("c2").alias("c2_"), F.log(F.greatest(low, F.lit(LEAST))).alias("logp"))
+    same = F.col("w").eqNullSafe(F.col("w_")) & F.col("c1").eqNullSafe(F.col("c1_")) & F.col("c2").eqNullSafe(F.col("c2_"))
+    return asked.join(found, same).select(*asked.columns, "logp")
 
 
 def rescored(scored: DataFrame, key: str, weight: float = 0.6) -> DataFrame:

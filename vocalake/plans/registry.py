@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules of this package that offer QUERIES (name -> query) and SQL (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("lm_queries", "frame_queries", "text_queries", "metric_queries", "source_queries")
 
 
 def _merged(attribute: str) -> dict:
