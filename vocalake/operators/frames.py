@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FRAME_S = 0.010
-_ORDER = W.partitionBy("clip_id").orderBy("frame")
+
+
+def _order():
+    return W.partitionBy("clip_id").orderBy("frame")
 
 
 def series(events: DataFrame) -> DataFrame:
@@ -17,25 +20,25 @@ def series(events: DataFrame) -> DataFrame:
 
 
 def _changed(label: str = "label") -> Column:
-    return F.coalesce(F.col(label) != F.lag(label).over(_ORDER), F.lit(False))
+    return F.coalesce(F.col(label) != F.lag(label).over(_order()), F.lit(False))
 
 
 def runs(frames: DataFrame) -> DataFrame:
     """(clip_id, seg_id, start, end, label): maximal runs of a label, half-open, in seconds to three places."""
-    marked = frames.withColumn("seg_id", F.sum(_changed().cast("long")).over(_ORDER))
+    marked = frames.withColumn("seg_id", F.sum(_changed().cast("long")).over(_order()))
     spans = marked.groupBy("clip_id", "seg_id", "label").agg(F.min("frame").alias("low"), F.max("frame").alias("high"))
     return spans.select("clip_id", "seg_id", F.round(F.col("low") * FRAME_S, 3).alias("start"), F.round((F.col("high") + 1) * FRAME_S, 3).alias("end"), "label")
 
 
 def transitions(frames: DataFrame) -> DataFrame:
     """(clip_id, frame, from_label, to_label) where the label differs from the frame before."""
-    return frames.select("clip_id", "frame", F.lag("label").over(_ORDER).alias("from_label"), F.col("label").alias("to_label")).filter("from_label <> to_label")
+    return frames.select("clip_id", "frame", F.lag("label").over(_order()).alias("from_label"), F.col("label").alias("to_label")).filter("from_label <> to_label")
 
 
 def dilated(frames: DataFrame, width: int = 5) -> DataFrame:
     """(clip_id, frame, boundary): 1 within width frames of a change."""
     marked = frames.withColumn("changed", _changed().cast("int"))
-    return marked.select("clip_id", "frame", F.max("changed").over(_ORDER.rowsBetween(-width, width)).alias("boundary"))
+    return marked.select("clip_id", "frame", F.max("changed").over(_order().rowsBetween(-width, width)).alias("boundary"))
 
 
 def chunks(frames: DataFrame, size: int = 500) -> DataFrame:
@@ -111,7 +114,7 @@ def first_window(frames: DataFrame, label: str, size: int = 50, hop: int = 10, s
 
 def interpolated(frames: DataFrame, seen: Column) -> DataFrame:
     """(clip_id, frame, value): frames not seen lie on the line between the nearest seen ones; beyond them the value is held."""
-    before, after = _ORDER.rowsBetween(W.unboundedPreceding, 0), _ORDER.rowsBetween(0, W.unboundedFollowing)
+    before, after = _order().rowsBetween(W.unboundedPreceding, 0), _order().rowsBetween(0, W.unboundedFollowing)
     known = frames.withColumn("at", F.when(seen, F.struct("frame", "value")))
     known = known.withColumn("l", F.last("at", ignorenulls=True).over(before)).withColumn("r", F.first("at", ignorenulls=True).over(after))
     slope = (F.col("r.value") - F.col("l.value")) / (F.col("r.frame") - F.col("l.frame"))
@@ -161,7 +164,7 @@ def frame_of(seconds: Column) -> Column:
 def deltas(frames: DataFrame, width: int = 4) -> DataFrame:
     """(clip_id, frame, delta): the slope of the line through 2 * width + 1 frames, where they all exist."""
     norm = 2 * sum(k * k for k in range(1, width + 1))
-    terms = [k * (F.lead("value", k).over(_ORDER) - F.lag("value", k).over(_ORDER)) for k in range(1, width + 1)]
+    terms = [k * (F.lead("value", k).over(_order()) - F.lag("value", k).over(_order())) for k in range(1, width + 1)]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
