@@ -122,7 +122,7 @@ def test_switch_marks(spark):
     from vocalake.plans.text_queries import g2p_switch_marks
 
     rows = {r.id: r for r in g2p_switch_marks(spark, "").collect()}
-    assert rows[2].boundaries == "3,8,10"
+    assert rows[2].boundaries == "3,9,11"  # tokens 3, 8 and 9, each behind the marks before it
     assert rows[2].ipa.split().count("|") == 3
 
 
