@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -21,3 +25,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     }
     settings |= {key.replace("__", "."): value for key, value in conf.items()}
     return SparkSession.builder.master(f"local[{cores}]").appName("vocalake").config(map=settings).getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of the session, once: they may not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="vocalake-ship-")) / "vocalake_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
