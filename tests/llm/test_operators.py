@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vocalake.llm import chat, line_dedup, mixing, neighbours, pieces, pii, quality_model, quality_rules, simhash, warc
+from vocalake.llm import chat, common, line_dedup, mixing, neighbours, pieces, pii, quality_model, quality_rules, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, txt string, words string, bad string, size string, score string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -158,6 +158,18 @@ def test_links_reach_what_is_near(spark, bucket):
     assert all(((r.a0 ^ r.b0) % 2**64).bit_count() <= 2 for r in found)
 
 
+@pytest.mark.parametrize("plain", [10**6, 0])
+def test_connected(spark, monkeypatch, plain):
+    monkeypatch.setattr(common, "PLAIN_LINKS", plain)
+    rng = random.Random(8)
+    pairs = [(0, k) for k in range(1, 40)] + [(50 + k, 51 + k) for k in range(30)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50)]
+    edges = spark.createDataFrame([(f"{a:03}", f"{b:03}") for a, b in pairs], "a string, b string")
+    roots = union(200, pairs)
+    touched = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {int(r.node): int(r.root) for r in common.connected(edges).collect()} == {x: roots[x] for x in touched}
+    assert common.connected(edges.limit(0)).count() == 0
+
+
 def test_components_and_keep_one(spark):
     rng = random.Random(2)
     base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)) for _ in range(6)]

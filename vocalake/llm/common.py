@@ -66,18 +66,27 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Links up to which a component step is one plain query.
+PLAIN_LINKS = 1_000_000
+
+
 def connected(edges: DataFrame, tag: str = "components", limit: int = 60) -> DataFrame:
     """Connected components of edges (a, b), by alternating large-star and small-star steps.
 
     Returns (node, root): one row per node of an edge, root the smallest node of its component. Every
     step is a shuffle with partial aggregation and is written to the shared folder; neither links nor
-    components reach the driver, which only compares row counts and a hash sum.
+    components reach the driver, which only compares row counts and a hash sum. Beyond PLAIN_LINKS links
+    the smallest neighbours are written before they are joined, so that the join is of two plain
+    shuffles, of which Spark can split the partition of a node with very many neighbours; of fewer
+    links such a partition is small, and the writing would cost more than it saves.
     """
 
-    def stars(pairs: DataFrame, large: bool) -> DataFrame:
+    def stars(pairs: DataFrame, large: bool, many: bool) -> DataFrame:
         if large:
             pairs = pairs.union(pairs.select("b", "a").toDF("a", "b"))
         least = pairs.groupBy("a").agg(F.min("b").alias("least"))
+        if many:
+            least = materialised(least, tag)
         joined = pairs.join(least, "a").withColumn("m", F.least("a", "least"))
         if large:
             return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -91,7 +100,8 @@ def connected(edges: DataFrame, tag: str = "components", limit: int = 60) -> Dat
     pairs = materialised(pairs, tag)
     before = state(pairs)
     for _ in range(limit if before[0] else 0):
-        pairs = materialised(stars(stars(pairs, True), False), tag)
+        many = before[0] > PLAIN_LINKS
+        pairs = materialised(stars(stars(pairs, True, many), False, many), tag)
         after = state(pairs)
         if after == before:
             break
