@@ -240,7 +240,8 @@ def mix(
         "number", "source", "key", "hash", "start", "size",
         F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"),
     )
-    met = drawn.join(whole, ["number", "block"])
+    # Spark takes the slots for as small as the list of shards and would broadcast them
+    met = drawn.hint("merge").join(whole, ["number", "block"])
     low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     high = F.least(F.col("block") * block + F.col("take") - F.col("start"), F.col("size"))
     pieces = met.select("shard", "number", "source", "block", "key", "hash", "start", "size", low.alias("from_word"), high.alias("to_word"))
@@ -252,7 +253,7 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     pieces, placed = mix(docs, **how)
     sums = pieces.groupBy("number", "start", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     sums = sums.withColumnsRenamed({"number": "n", "start": "s", "size": "z"})
-    out = placed.join(sums, (placed["number"] == sums["n"]) & (placed["start"] == sums["s"]) & (placed["size"] == sums["z"]), "left")
+    out = placed.join(sums.hint("merge"), (placed["number"] == sums["n"]) & (placed["start"] == sums["s"]) & (placed["size"] == sums["z"]), "left")
     return out.select("key", "source", "start", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -291,7 +292,7 @@ def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id"
     pieces, _ = mix(docs, source, key, text, **how)
     spans = pieces.groupBy("hash", "key", "size").agg(F.collect_list(F.struct("block", "from_word", "to_word")).alias("spans"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
-    met = row.join(spans, (row["h"] == spans["hash"]) & F.col(f"row.`{key}`").eqNullSafe(spans["key"]))
+    met = row.join(spans.hint("merge"), (row["h"] == spans["hash"]) & F.col(f"row.`{key}`").eqNullSafe(spans["key"]))
     met = met.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("size").alias("__size"), F.col("spans").alias("__spans"))
     names, at = docs.columns, docs.columns.index(text)
 
