@@ -188,6 +188,20 @@ def test_components_and_keep_one(spark):
     assert sorted(r.text for r in no_key.collect()) == ["x", "y"]
 
 
+def test_near_copies_link_from_a_similarity_of_exactly_0_8(spark):
+    """Of 400 different words (396 shingles) 44 new last ones leave 352 of 440, which is 0.8; 45 leave 351 of 441."""
+    rng, texts = random.Random(8), []
+    for k in range(30):
+        own = [f"w{k}x{i}" for i in range(400)]
+        texts += [" ".join(own), " ".join([*own[:356], *(f"n{k}x{i}" for i in range(44))]), " ".join([*(f"m{k}x{i}" for i in range(45)), *own[45:]])]
+    texts += [" ".join(rng.choices(texts[0].split(), k=400)), texts[3].upper(), None, " "]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    kept = simhash.keep_one(docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(union(len(texts), near)))
+    assert len(near) == 30 + 1 + 1 + 1
+
+
 # ---------------------------------------------------------------- mixing
 
 

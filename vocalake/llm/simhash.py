@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalake.llm import shingles
 from vocalake.llm.common import connected, materialised, unused
 
 #: Buckets above this size are dealt anew by further masks over their free bits.
@@ -291,18 +292,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: P
     return prints.join(linked, ["w0", "w1"]).select("key", "fingerprint", "component_id")
 
 
-#: Near duplicates by five-word shingles: a similarity of 0.8 puts the expected angle at about 15 % of
-#: the bits. The masks guarantee 11 differing bits of 64; the whole 128 bits confirm.
-NEAR_DUPLICATES = Plan(shingle=5, longs=2, radius=11, parts=2, total=23)
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = NEAR_DUPLICATES) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """docs with one row of each component, that with the smallest key, in docs' columns.
 
-    Of rows that repeat a key, one stays; of rows without a key, one of each text.
+    Components are those of `shingles`, or with a plan those of its fingerprints. Of rows that repeat a key, one stays; of rows without a key, one of each text.
     """
     named = docs.filter(F.col(f"`{key}`").isNotNull())
-    kept, last = unused("kept_key", docs.columns), components(named, key, text, plan)
+    kept, last = unused("kept_key", docs.columns), components(named, key, text, plan) if plan else shingles.components(named, key, text)
     last = last.filter(F.col("key") == F.col("component_id")).select(F.col("key").alias(kept)).distinct()
     stay = named.join(last, named[key] == last[kept], "left_semi").dropDuplicates([key])
     return stay.unionByName(docs.filter(F.col(f"`{key}`").isNull()).dropDuplicates([text]))
