@@ -374,6 +374,21 @@ def test_neighbours(spark):
     assert neighbours.search(table.filter("vec_id >= 1000")).filter("query_id <> 1005").count() == 0
 
 
+def test_neighbours_of_equal_vectors_are_the_smallest_keys(spark):
+    """A third of the rows are equal, many more than a window holds."""
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-4, 5, size=(900, 8)).astype(np.float32)
+    vectors[::3] = [3, -1, 2, 0, 4, -4, 1, 2]
+    ids = rng.permutation(900)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>")
+    found = neighbours.search(table, is_query=F.col("vec_id") % 20 == 0, k=20, least_window=16).collect()
+    got, at = defaultdict(list), {int(i): k for k, i in enumerate(ids)}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    equal = [q for q in range(0, 900, 20) if at[q] % 3 == 0]
+    assert equal and all(got[q] == _brute(vectors.astype(float), ids, at[q], 20) for q in equal)
+
+
 def test_recall_on_the_table(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.1/embeddings.parquet")
     found = neighbours.search(table, is_query=F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()

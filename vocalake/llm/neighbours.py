@@ -5,6 +5,10 @@ directions. Spark range-partitions the rows of every curve; a query's candidates
 a window around its place on each curve. Windows are cut into blocks of rows, each block keeps the
 best of a query's window, and the blocks' best are merged and ranked by the exact inner product.
 
+Equal vectors are one place on the curves: only distinct vectors are ordered and searched, and each one
+found stands for the k + 1 smallest keys that hold it, more of which no answer can hold. So a group of
+equal vectors, however large, costs one row on each curve and its ties are exact.
+
 The window is a share of the rows. On vectors without structure, such as random directions, a recall
 of 0.9 takes about half of all pairs whatever the order, so that a window of fixed size would lose
 recall as the table grows; on clustered vectors a smaller share does.
@@ -94,6 +98,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def _distinct(rows: DataFrame, most: int) -> DataFrame:
+    """(gid, v, low, ids, asks): each different vector of rows (id, v, asks), its smallest key, its `most` smallest keys, and whether any row of it asks."""
+    first = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    small = rows.select("v", "id").distinct().withColumn("place", first).filter(F.col("place") <= most)
+    small = small.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    asking = rows.filter("asks").select("v").distinct().withColumn("asks", F.lit(True))
+    whole = small.join(asking, "v", "left").select("v", F.col("ids")[0].alias("low"), "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
+    return materialised(whole.select(F.monotonically_increasing_id().alias("gid"), "*"), "vectors")
+
+
 def search(
     table: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: Column | None = None, k: int = 20,
     curves: int = CURVES, window: float = WINDOW, least_window: int = LEAST_WINDOW, block: int = BLOCK, seed: int = SEED,
@@ -112,19 +126,21 @@ def search(
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return table.sparkSession.createDataFrame([], schema)
-    dim, n = sizes[0]
+    dim = sizes[0][0]
     rows = rows.filter(F.size("v") == dim)
+    vectors = _distinct(rows, k + 1)
+    n = vectors.count()
     reach = max(least_window, int(np.ceil(n * window)))
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            raw = _vectors(batch.column(1), dim).astype(np.float64)
+            raw = _vectors(batch.column(2), dim).astype(np.float64)
             scale = np.abs(raw).max(axis=1, keepdims=True) if len(raw) else raw
             unit = raw / scale
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             for c in range(curves):
-                arrays = [pa.array(np.full(len(raw), c, dtype=np.int32)), pa.array(keys_on(unit, c, seed=seed)), batch.column(0), batch.column(1), batch.column(2)]
-                yield pa.RecordBatch.from_arrays(arrays, ["curve", "at", "id", "v", "asks"])
+                arrays = [pa.array(np.full(len(raw), c, dtype=np.int32)), pa.array(keys_on(unit, c, seed=seed)), *(batch.column(i) for i in range(4))]
+                yield pa.RecordBatch.from_arrays(arrays, ["curve", "at", "gid", "low", "v", "asks"])
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), {}
@@ -135,46 +151,51 @@ def search(
                 own = curve == c
                 place[own] = done.get(c, 0) + np.arange(own.sum())
                 done[c] = done.get(c, 0) + int(own.sum())
-            arrays = [batch.column(0), pa.array(np.full(len(curve), part, dtype=np.int32)), pa.array(place), *(batch.column(i) for i in (2, 3, 4))]
-            yield pa.RecordBatch.from_arrays(arrays, ["curve", "part", "place", "id", "v", "asks"])
+            arrays = [batch.column(0), pa.array(np.full(len(curve), part, dtype=np.int32)), pa.array(place), *(batch.column(i) for i in (2, 3, 4, 5))]
+            yield pa.RecordBatch.from_arrays(arrays, ["curve", "part", "place", "gid", "low", "v", "asks"])
 
     kind = table.schema[vector].dataType.simpleString()
-    on_curves = rows.mapInArrow(keyed, f"curve int, at long, id long, v {kind}, asks boolean")
+    on_curves = vectors.select("gid", "low", "v", "asks").mapInArrow(keyed, f"curve int, at long, gid long, low long, v {kind}, asks boolean")
     parts = max(curves, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = on_curves.repartitionByRange(parts, "curve", "at", "id").sortWithinPartitions("curve", "at", "id")
-    placed = materialised(ordered.mapInArrow(counted, f"curve int, part int, place long, id long, v {kind}, asks boolean"), "curves")
+    ordered = on_curves.repartitionByRange(parts, "curve", "at", "low", "gid").sortWithinPartitions("curve", "at", "low", "gid")
+    placed = materialised(ordered.mapInArrow(counted, f"curve int, part int, place long, gid long, low long, v {kind}, asks boolean"), "curves")
     # a partition's first row has as many rows before it as the curve's earlier partitions hold
     counts = placed.groupBy("curve", "part").agg(F.count("*").alias("own"))
     counts = counts.withColumn("base", F.sum("own").over(W.partitionBy("curve").orderBy("part")) - F.col("own")).drop("own")
-    ranked = placed.join(counts, ["curve", "part"]).withColumn("place", F.col("place") + F.col("base")).select("curve", "place", "id", "v", "asks")
-    stored = ranked.select("curve", F.expr(f"place div {block}").alias("block"), F.lit(False).alias("query"), "place", "id", "v")
+    ranked = placed.join(counts, ["curve", "part"]).withColumn("place", F.col("place") + F.col("base")).select("curve", "place", "gid", "low", "v", "asks")
+    stored = ranked.select("curve", F.expr(f"place div {block}").alias("block"), F.lit(False).alias("query"), "place", "gid", "low", "v")
     asked = ranked.filter("asks").select(
         "curve",
         F.explode(F.expr(f"sequence(greatest(place - {reach}, 0L) div {block}, least(place + {reach}, {n - 1}L) div {block})")).alias("block"),
-        F.lit(True).alias("query"), "place", "id", "v",
+        F.lit(True).alias("query"), "place", "gid", "low", "v",
     )
 
     def compared(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy()
-        place, ids = group.column("place").to_numpy(), group.column("id").to_numpy()
+        place, gids, lows = (group.column(x).to_numpy() for x in ("place", "gid", "low"))
         data = _vectors(group.column("v").combine_chunks(), dim).astype(np.float64)
         q, c = np.flatnonzero(query), np.flatnonzero(~query)
         out: list[list[np.ndarray]] = [[], [], []]
         for low in range(0, len(q) if len(c) else 0, 256):
             part = q[low : low + 256]
             scores = data[part] @ data[c].T
-            scores[(np.abs(place[part][:, None] - place[c]) > reach) | (ids[part][:, None] == ids[c])] = -np.inf
+            scores[np.abs(place[part][:, None] - place[c]) > reach] = -np.inf
             for row, i in zip(scores, part, strict=True):
-                near = _best(row, ids[c], k)
+                near = _best(row, lows[c], k + 1)
                 near = near[row[near] > -np.inf]
                 own = c[near]
-                out[0].append(np.full(len(own), ids[i]))
-                out[1].append(ids[own])
+                out[0].append(np.full(len(own), gids[i]))
+                out[1].append(gids[own])
                 out[2].append((data[own] * data[i]).sum(axis=1))
         found = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"query_id": found[0].astype(np.int64), "vec_id": found[1].astype(np.int64), "score": found[2].astype(np.float64)})
-
-    near = stored.union(asked).groupBy("curve", "block").applyInArrow(compared, "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return pa.table({"asker": found[0].astype(np.int64), "gid": found[1].astype(np.int64), "score": found[2].astype(np.float64)})
+
+    near = stored.union(asked).groupBy("curve", "block").applyInArrow(compared, "asker long, gid long, score double")
+    best = near.groupBy("asker", "gid").agg(F.max("score").alias("score")).join(vectors.select("gid", "low", "ids"), "gid")
+    best = best.withColumn("place", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "low"))).filter(F.col("place") <= k + 1)
+    best = best.select("asker", F.explode("ids").alias("vec_id"), "score").groupBy("asker", "vec_id").agg(F.max("score").alias("score"))
+    best = best.withColumn("place", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
+    asking = rows.filter("asks").select(F.col("id").alias("query_id"), "v").distinct().join(vectors.filter("asks").select(F.col("gid").alias("asker"), "v"), "v")
+    found = asking.select("query_id", "asker").join(best, "asker").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
