@@ -12,6 +12,7 @@ from vocalake.functions import vectors as vec
 from vocalake.operators import evaluation as ev
 from vocalake.operators import frames as fr
 from vocalake.operators import joins, kernels, lm, models, sampling, signal
+from vocalake.plans import metric_queries
 from vocalake.sources import audio
 from vocalake.sources import transcripts as tr
 
@@ -221,3 +222,23 @@ def test_streamed_run_lengths(spark, tmp_path):
     query = sf.run_lengths(sf.with_time(stream)).writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.label, r.n) for r in spark.table("runs").collect()] == [("a", 2), ("b", 3)]
+
+
+def test_confusion_matches_all_transitions(spark, tmp_path):
+    """Three clips against a plain walk: each prediction in time order takes the nearest free gold frame, the earliest of equals."""
+    rng = np.random.default_rng(3)
+    rows = [(u * 100 + k, u, k, str(rng.choice(["click", "error", "view"])), 1.0) for u in range(3) for k in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, at long, event_type string, value double")
+    events.select("event_id", F.timestamp_seconds("at").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for u in range(3):
+        labels = [r[3] for r in rows if r[1] == u]
+        gold = [(k, f"{labels[k - 1]}>{labels[k]}") for k in range(1, 60) if labels[k - 1] != labels[k]]
+        used = set()
+        for p, kind in [(k + 1, kind) for k, kind in gold]:
+            near = sorted((abs(g - p), g, other) for g, other in gold if abs(g - p) <= 3 and g not in used)
+            if near:
+                used.add(near[0][1])
+                want[kind, near[0][2]] = want.get((kind, near[0][2]), 0) + 1
+    got = {(r.pred_kind, r.gold_kind): r.n for r in metric_queries.confusion(spark, str(tmp_path)).collect() if r.n}
+    assert got == want

@@ -46,9 +46,9 @@ def _kinds(df: DataFrame) -> DataFrame:
 
 
 def confusion(spark, sf_dir):
-    """Transitions of the series against those of the series two frames later."""
-    gold = _kinds(fr.transitions(series(spark, sf_dir))).filter("frame % 3 = 0").select("clip_id", F.col("frame").alias("g"), F.col("kind").alias("g_kind"))
-    pred = _kinds(fr.transitions(series(spark, sf_dir))).filter("frame % 4 = 0").select("clip_id", (F.col("frame") + 1).alias("p"), F.col("kind").alias("p_kind"))
+    """All transitions of the series against all of those of the series one frame later."""
+    gold = _kinds(fr.transitions(series(spark, sf_dir))).select("clip_id", F.col("frame").alias("g"), F.col("kind").alias("g_kind"))
+    pred = _kinds(fr.transitions(series(spark, sf_dir))).select("clip_id", (F.col("frame") + 1).alias("p"), F.col("kind").alias("p_kind"))
     matched = joins.greedy_matches(pred, gold, "clip_id", 3)
     kinds = spark.createDataFrame([(f"{a}>{b}",) for a in CLASSES for b in CLASSES if a != b], "kind string")
     return ev.confusion(matched, kinds, "p_kind", "g_kind")
