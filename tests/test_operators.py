@@ -12,7 +12,7 @@ from vocalake.functions import vectors as vec
 from vocalake.operators import evaluation as ev
 from vocalake.operators import frames as fr
 from vocalake.operators import joins, kernels, lm, models, sampling, signal
-from vocalake.plans import metric_queries
+from vocalake.plans import metric_queries, text_queries
 from vocalake.sources import audio
 from vocalake.sources import transcripts as tr
 
@@ -242,3 +242,13 @@ def test_confusion_matches_all_transitions(spark, tmp_path):
                 want[kind, near[0][2]] = want.get((kind, near[0][2]), 0) + 1
     got = {(r.pred_kind, r.gold_kind): r.n for r in metric_queries.confusion(spark, str(tmp_path)).collect() if r.n}
     assert got == want
+
+
+def test_clean_segments_drop_repeated_phrases(spark, tmp_path):
+    """Six times a phrase passes the test of single tokens, not that of compression."""
+    phrase = "stochastic gradients wander through noisy valleys before settling somewhere quiet. "
+    texts = [phrase, phrase * 6, "a b " * 7, "", None]
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = text_queries.clean_segments(spark, str(tmp_path)).collect()
+    assert [(r.turn, r.text) for r in kept] == [(0, phrase.strip())]

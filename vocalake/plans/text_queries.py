@@ -53,9 +53,10 @@ def excess_repeat(spark, sf_dir):
 
 
 def clean_segments(spark, sf_dir):
-    """Cheap tests first; the compression test is SQL-free and has a query of its own."""
+    """Cheap tests first; the last, a compression ratio of 2.4 at most, is beyond SQL and has a query of its own too."""
     seg = _segments(spark, sf_dir).filter((F.col("text") != "") & (F.coalesce("avg_logprob", F.lit(0.0)) >= -1.0))
     seg = seg.filter(tx.most_repeated(F.regexp_extract_all("text", F.lit(f"([{tx.LETTERS}]+)"), 1)) <= 6)
+    seg = seg.filter(compression_ratio("text") <= 2.4)
     return seg.select("conv_id", "turn", F.array_join(tx.drop_repeats(tx.words(F.col("text"))), " ").alias("text"))
 
 
