@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vocalake.llm.common import mapped
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that steer a model or this format; inside texts they are escaped.
 CONTROLS = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -557,7 +559,7 @@ def formatted(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
                 spans.append([{"start": a, "end": b} for a, b in marked])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, spans_type)], ["conv_id", "formatted", "spans"])
 
-    return turns.select("conv_id", "turns").mapInArrow(batches, f"conv_id {kind}, formatted string, spans array<struct<start:bigint,end:bigint>>")
+    return mapped(turns.select("conv_id", "turns"), batches, f"conv_id {kind}, formatted string, spans array<struct<start:bigint,end:bigint>>")
 
 
 def digests(done: DataFrame) -> DataFrame:
@@ -578,4 +580,4 @@ def digests(done: DataFrame) -> DataFrame:
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names)
 
-    return done.mapInArrow(batches, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(done, batches, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -6,9 +6,14 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,8 +25,10 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = _FALLBACK.get("folder") or _FALLBACK.setdefault("folder", tempfile.mkdtemp(prefix="vocalake-"))
     return found.rstrip("/")
@@ -49,6 +56,76 @@ def materialised(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a record batch on its way to a Python worker, about; a longer row goes alone.
+BATCH_BYTES = 2 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(rows: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """rows.mapInArrow, with batches cut by bytes, so that a worker's memory doesn't follow the length of texts.
+
+    The session's own limit holds where it has set one.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH_LIMIT, None) is None:
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return rows.mapInArrow(batches, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose cells of a text or binary column have `most` bytes together, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, low = np.cumsum(sizes, dtype=np.int64), 0
+    while low < batch.num_rows:
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def regrouped(source: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `most` bytes in a text or binary column, whatever their size was; at least one row each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in source:
+        for part in slices(batch, column, most):
+            own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + own > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
+def whole_runs(source: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by their first `keys` columns, cut anew so that rows of equal keys (no nulls) are in one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        changed = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+        if len(changed):
+            cut = int(changed[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in enumerate(columns)):
+            yield pa.concat_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def run_starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where runs of equal keys begin, and the number of rows."""
+    columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+    return np.r_[0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, batch.num_rows]
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vocalake.llm.common import materialised, word_count
+from vocalake.llm.common import mapped, materialised, word_count
 
 BLOCK = 256
 SLOTS = 1 << 14
@@ -171,7 +171,7 @@ def draw_slots(shards: DataFrame, sources: list[Source], block: int = BLOCK, slo
                     arrays = [np.full(len(j), shard, dtype=np.int64), np.full(len(j), s.number, dtype=np.int32), index, take]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shard", "source", "block", "take"])
 
-    return shards.select("shard").mapInArrow(batches, "shard long, source int, block long, take long")
+    return mapped(shards.select("shard"), batches, "shard long, source int, block long, take long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -307,5 +307,5 @@ def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id"
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = met.mapInArrow(batches, docs.schema)
+    out = mapped(met, batches, docs.schema)
     return out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType)) if chars in names else out

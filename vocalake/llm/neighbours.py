@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vocalake.llm.common import materialised
+from vocalake.llm.common import mapped, materialised
 
 CURVES, DIMS, BITS = 32, 8, 7
 #: Rows before and behind a query on each curve: this share of all, at least LEAST_WINDOW.
@@ -155,10 +155,10 @@ def search(
             yield pa.RecordBatch.from_arrays(arrays, ["curve", "part", "place", "gid", "low", "v", "asks"])
 
     kind = table.schema[vector].dataType.simpleString()
-    on_curves = vectors.select("gid", "low", "v", "asks").mapInArrow(keyed, f"curve int, at long, gid long, low long, v {kind}, asks boolean")
+    on_curves = mapped(vectors.select("gid", "low", "v", "asks"), keyed, f"curve int, at long, gid long, low long, v {kind}, asks boolean")
     parts = max(curves, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = on_curves.repartitionByRange(parts, "curve", "at", "low", "gid").sortWithinPartitions("curve", "at", "low", "gid")
-    placed = materialised(ordered.mapInArrow(counted, f"curve int, part int, place long, gid long, low long, v {kind}, asks boolean"), "curves")
+    placed = materialised(mapped(ordered, counted, f"curve int, part int, place long, gid long, low long, v {kind}, asks boolean"), "curves")
     # a partition's first row has as many rows before it as the curve's earlier partitions hold
     counts = placed.groupBy("curve", "part").agg(F.count("*").alias("own"))
     counts = counts.withColumn("base", F.sum("own").over(W.partitionBy("curve").orderBy("part")) - F.col("own")).drop("own")

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalake.llm.common import mapped, regrouped
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _UNIGRAM, _BPE = 1, 2
-#: Pairs whose test is remembered; the memory is emptied beyond it.
-_PAIRS = 2_000_000
+#: Pairs whose test is remembered (some 100 bytes each); the memory is emptied beyond it.
+_PAIRS = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -184,6 +186,7 @@ class Codec:
             raise ValueError("only unigram and BPE models can be read")
         self.lattice = Lattice(own, {p: sp.get_score(k) for p, k in own.items()}, kind == _BPE)
         self.raw = [bytes([int(names[k][3:5], 16)]) if sp.is_byte(k) else b" \xe2\x81\x87 " if k == self.unk else b"" if special[k] else names[k].encode() for k in range(n)]
+        self.pieces = pa.array(self.raw, pa.binary())
 
     def _spelled(self, flat: list[int], sizes: list[int], strange: list[str]) -> tuple[list[int], list[int]]:
         """The ids with bytes, or one unknown id for a run, in place of characters without a piece."""
@@ -203,10 +206,10 @@ class Codec:
             at += size
         return out, counts
 
-    def _units(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """(unit numbers of all texts, the distinct units, units per text, whether a text is only marked)."""
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(unit numbers of all texts, the distinct units, units per text)."""
         normal = [self.processor.normalize(t) if t else "" for t in texts]
-        marked = np.array([n == (MARK + t.replace(" ", MARK) if t else "") and MARK not in t for n, t in zip(normal, texts, strict=True)], dtype=bool)
+        marked = (n == (MARK + t.replace(" ", MARK) if t else "") and MARK not in t for n, t in zip(normal, texts, strict=True))
         plain = np.array([ok and not (t[:1] == " " or t[-1:] == " " or "  " in t) for ok, t in zip(marked, texts, strict=True)], dtype=bool)
         # words between single blanks are split and numbered by Arrow; other texts unit by unit
         split = pc.split_pattern(pa.array([t if ok and t else None for t, ok in zip(texts, plain, strict=True)], pa.large_string()), " ")
@@ -223,11 +226,11 @@ class Codec:
                 units = _UNITS.findall(text)
                 counts[k] = len(units)
                 parts.append(np.array([number.setdefault(u, len(number)) for u in units], dtype=np.int32))
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), list(number), counts, marked
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), list(number), counts
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, ids per text, whether decoding gives the text), each distinct unit segmented once."""
-        rows, units, counts, marked = self._units(texts)
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text), each distinct unit segmented once."""
+        rows, units, counts = self._units(texts)
         order = np.array(sorted(range(len(units)), key=units.__getitem__), dtype=np.int64)
         words = [units[k] for k in order.tolist()]
         collects = gc.isenabled()
@@ -243,30 +246,31 @@ class Codec:
         ends = np.cumsum(np.array(sizes, dtype=np.int64))
         size, start = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
         size[order], start[order] = sizes, ends - np.array(sizes, dtype=np.int64)
-        back = np.ones(len(units), dtype=bool)
-        spelled = list(map(self.raw.__getitem__, flat))
-        low = 0
-        for k, word, high in zip(order.tolist(), words, ends.tolist(), strict=True):
-            back[k] = b"".join(spelled[low:high]) == word.encode()
-            low = high
         own = size[rows]
         until = np.cumsum(own)
         total = int(until[-1]) if len(own) else 0
         tokens = ids[np.repeat(start[rows] - (until - own), own) + np.arange(total)]
-        text = np.repeat(np.arange(len(texts)), counts)
-        per_text = np.bincount(text, weights=own, minlength=len(texts)).astype(np.int64)
-        lost = np.bincount(text, weights=~back[rows], minlength=len(texts))
-        return tokens, per_text, marked & (lost == 0)
+        per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=own, minlength=len(texts)).astype(np.int64)
+        return tokens, per_text
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        tokens, sizes, _ = self.encode_all(texts)
+        tokens, sizes = self.encode_all(texts)
         return np.split(tokens, np.cumsum(sizes)[:-1]) if texts else []
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, without the mark that encoding puts in front."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return text.removeprefix(" ")
+        ids = np.fromiter(ids, dtype=np.int64)
+        return self.decode_all(ids, np.array([len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of runs of ids, of those sizes; an id that the model doesn't have counts as unknown."""
+        known = np.where((ids >= 0) & (ids < len(self.raw)), ids, self.unk)
+        spelled = self.pieces.take(pa.array(known))
+        data, at = spelled.buffers()[2], np.frombuffer(spelled.buffers()[1], dtype=np.int32, count=len(spelled) + 1)
+        borders = at[np.r_[0, np.cumsum(sizes)]].tolist()
+        whole = data.to_pybytes() if data else b""
+        return [whole[a:b].decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for a, b in zip(borders, borders[1:], strict=False)]
 
 
 _CODECS: dict[int, Codec] = {}
@@ -286,31 +290,44 @@ def read_model(path: str = MODEL) -> bytes:
         return file.read()
 
 
-#: Documents encoded together; memory grows with their distinct words.
-TOGETHER = 8192
+#: Bytes of text encoded together; memory grows with their distinct words.
+TOGETHER = 8 << 20
 
 
 def decoded(rows: DataFrame, ids: str = "token_ids", to: str = "decoded", model: bytes | None = None) -> DataFrame:
-    """rows' columns, then the text of the ids; null ids give the empty text."""
+    """rows' columns, then the text of the ids.
+
+    Null and empty lists give the empty text. Null elements are passed over; an id that the model
+    doesn't have, negative ones included, is decoded as the unknown one. Rows are decoded each for
+    itself; an empty table gives an empty table. A ValueError says that rows has a column `to`.
+    """
+    if to.lower() in {c.lower() for c in rows.columns}:
+        raise ValueError(f"rows has a column {to}")
     data = model or read_model()
     at, schema = rows.columns.index(ids), T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(data)
         for batch in source:
-            texts = [own.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in batch.column(at)]
+            lists = batch.column(at)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.bincount(row[there], minlength=batch.num_rows)
+            texts = own.decode_all(flat.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
-    return rows.mapInArrow(batches, schema)
+    return mapped(rows, batches, schema)
 
 
 def encoded(docs: DataFrame, text: str = "text", model: bytes | None = None, prefix: str = "") -> DataFrame:
-    """docs' columns, then token_ids array<int>, n_tokens long and lossless boolean (decoding gives the text).
+    """docs' columns, then token_ids array<int>, n_tokens long and lossless boolean (the ids, decoded, give the text).
 
     Null and empty texts have no token; a null text is lossless if decoded as empty. Texts that hold
     the white-space mark itself, or what the model's normalisation changes, are not lossless. Rows are
-    encoded each for itself; an empty table gives an empty table. The new columns take `prefix` where
-    docs has columns of their names. The model's bytes (about 0.5 MB) go with the tasks.
+    encoded each for itself; texts are encoded whole, a very long one alone. An empty table gives an
+    empty table. The new columns take `prefix` where docs has columns of their names. The model's bytes
+    (about 0.5 MB) go with the tasks.
     """
     data = model or read_model()
     names = [prefix + n for n in ("token_ids", "n_tokens", "lossless")]
@@ -321,13 +338,12 @@ def encoded(docs: DataFrame, text: str = "text", model: bytes | None = None, pre
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(data)
-        for large in source:
-            for low in range(0, large.num_rows, TOGETHER):
-                batch = large.slice(low, TOGETHER)
-                texts = [x or "" for x in batch.column(at).to_pylist()]
-                tokens, sizes, same = own.encode_all(texts)
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(sizes), pa.array(same)], [*batch.schema.names, *names])
-
-    return docs.mapInArrow(batches, schema)
+        for batch in regrouped(source, at, TOGETHER):
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            tokens, sizes = own.encode_all(texts)
+            same = [a == b for a, b in zip(own.decode_all(tokens, sizes), texts, strict=True)]
+            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(tokens))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(sizes), pa.array(same, pa.bool_())], [*batch.schema.names, *names])
+
+    return mapped(docs, batches, schema)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vocalake.llm.common import mapped
+
 #: Kinds in the order in which spans of one start are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret", "url")
 BASE = KINDS[:4]
@@ -158,17 +160,19 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def scan(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
-    """docs' columns without the text, then n_email, n_ip, n_card, n_phone, base_sha256 and spans, with `redacted` if asked for.
+    """docs' columns without the text, then n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans (all kinds), with `redacted` if asked for.
 
-    Null and empty texts have no span. Rows are scanned each for itself; an empty table gives an
-    empty table. Columns of docs that have these names must be renamed before.
+    Null and empty texts have no span. Rows are scanned each for itself and whole, however long: each
+    parser starts at an anchor behind the end of the last match of its kind, so that work follows the
+    length. Repeated rows give repeated rows; an empty table gives an empty table. Columns of docs that
+    have these names must be renamed before: a ValueError says so.
     """
-    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans", *["redacted"] * redacted]
+    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", *["redacted"] * redacted]
     at = docs.columns.index(text)
     others = [f for f in docs.schema.fields if f.name != text]
     if clash := {f.name.lower() for f in others} & set(names):
         raise ValueError(f"docs has columns {sorted(clash)}")
-    kinds = [T.LongType()] * len(BASE) + [T.StringType()] * (2 + redacted)
+    kinds = [T.LongType()] * len(BASE) + [T.StringType()] * 2 + [T.LongType()] + [T.StringType()] * redacted
     schema = T.StructType([*others, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +183,13 @@ def scan(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
                 spans = find(body)
                 base = [s for s in spans if s[2] in BASE]
                 row = [sum(s[2] == k for s in base) for k in BASE]
-                row += [hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)]
+                row += [hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans), len(spans)]
                 if redacted:
                     row.append(redact(body, spans))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            arrow = [pa.int64()] * len(BASE) + [pa.string()] * (2 + redacted)
+            arrow = [pa.int64()] * len(BASE) + [pa.string()] * 2 + [pa.int64()] + [pa.string()] * redacted
             kept = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(out, arrow, strict=True))], schema.names)
 
-    return docs.mapInArrow(batches, schema)
+    return mapped(docs, batches, schema)

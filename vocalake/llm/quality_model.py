@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalake.llm.common import mapped
+
 DIMENSIONS = 1 << 18
 #: Labelled rows that training takes, about: all, or a hash sample of this size of a larger table.
 SAMPLE = 6000
@@ -169,4 +171,4 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", to: str = "
                 kept = [c for k, c in enumerate(batch.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], schema.names)
 
-    return docs.mapInArrow(batches, schema)
+    return mapped(docs, batches, schema)
