@@ -276,6 +276,27 @@ def test_pieces_equal_the_library(spark, texts):
         pieces.encoded(docs(spark, ["a"]).withColumn("N_Tokens", F.lit(1)))
 
 
+def test_pieces_in_small_batches_equal_the_library(spark, texts, monkeypatch):
+    own, rng = pieces.codec(pieces.read_model()), random.Random(2)
+    long = ["".join(rng.choices("abcdefgh", k=30_000)), " ".join("".join(rng.choices("aeioust", k=4)) for _ in range(60_000))]
+    got = pieces.encoded(docs(spark, [*texts, *long])).collect()
+    assert all(r.token_ids == own.processor.encode(r.text or "") and r.lossless for r in got)
+    tokens, sizes = own.encode_all([t or "" for t in texts])
+    assert own.decode_all(tokens, sizes) == [t or "" for t in texts]
+
+
+def test_decoding_odd_ids(spark):
+    own = pieces.codec(pieces.read_model())
+    ids = own.processor.encode("some text")
+    rows = spark.createDataFrame([(1, ids), (2, [ids[0], None, *ids[1:]]), (3, None), (4, []), (5, [-1, 10**6]), (5, [-1, 10**6]), (6, [None])], "k int, token_ids array<int>")
+    got = [r.decoded for r in pieces.decoded(rows).orderBy("k").collect()]
+    unknown = own.processor.decode([own.unk, own.unk])
+    assert got == ["some text", "some text", "", "", *[unknown.removeprefix(" ")] * 2, ""]
+    assert pieces.decoded(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="decoded"):
+        pieces.decoded(rows.withColumn("Decoded", F.lit(1)))
+
+
 def test_unigram_lattice_finds_the_best_sum():
     score = {"a": -3.0, "b": -3.1, "ab": -4.0, "ba": -2.5, "aba": -9.0, "bb": -5.9}
     lattice = pieces.Lattice({p: k for k, p in enumerate(score)}, score, merges=False)
@@ -418,14 +439,70 @@ def test_archives(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_damaged_segments_are_noticed(spark):
-    parts = [dict(f) | {"block": b} for r in warc.records(1, "u", b"x" * 9000, None, "k") for f, b in warc.parsed(r + warc.END)]
+def archive(spark, folder, data):
+    """Pages of a file with these bytes."""
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(data)
+    return warc.read(spark, str(folder)).orderBy("page_id").collect()
+
+
+def test_damaged_segments_are_noticed(spark, tmp_path):
+    parts = list(warc.records(1, "u", b"x" * 9000, None, "k"))
     assert len(parts) > 2
-    rows = [(1, p["WARC-Type"], "o", int(p["WARC-Segment-Number"]), int(p.get("WARC-Segment-Total-Length", 0)) or None, p.get("WARC-Payload-Digest", "")[5:] or None, None, bytearray(p["block"])) for p in parts]
-    table = lambda own: spark.createDataFrame(own, warc._RECORD)
-    assert warc.reassembled(table(rows[::-1])).first().intact
-    assert not warc.reassembled(table(rows[:1] + rows[2:])).first().intact
-    assert not warc.reassembled(table(rows[:-1])).first().intact
+    for k, (own, intact) in enumerate([(parts[::-1], True), (parts[:1] + parts[2:], False), (parts[:-1], False), (parts[1:], False), (parts + parts[1:2], False)]):
+        assert [r.intact for r in archive(spark, tmp_path / f"{k}", b"".join(map(warc.member, own)))] == [intact]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Members one by one, all in one, or none; names in any case, folded lines, no blank; other record types and digests."""
+
+    def record(kind, fields, block):
+        return f"WARC/1.0\r\nwarc-type:{kind}\r\n{fields}content-length:{len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html;\r\n charset=x\r\n"
+    records = [
+        record("warcinfo", "", b"software: x"),
+        record("request", "WARC-Record-ID: <r>\r\n", b"GET /"),
+        record("response", "WARC-Page-ID: 1\r\nWARC-Target-URI: http://a/\r\n b\r\nWARC-Payload-Digest: md5:abc\r\n", http + b"\r\nplain body\r\n\r\nmore"),
+        record("response", "WARC-Page-ID: 2\r\n", http + b"TRANSFER-encoding: gzip, Chunked\r\n\r\n" + warc.chunked(b"abc", 2)),
+        record("response", "WARC-Page-ID: 3\r\n", http + b"Transfer-Encoding: chunked\r\n\r\n5\r\nab"),
+        record("resource", "WARC-Record-ID: <s>\r\nWARC-Segment-Number: 1\r\n", b"half"),
+        record("continuation", "WARC-Segment-Origin-ID: <s>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: 8\r\n", b"half"),
+        record("revisit", "WARC-Page-ID: 4\r\n", b""),
+    ]
+    whole = b"".join(records)
+    for k, data in enumerate([b"".join(map(warc.member, records)), b"\0".join(map(warc.member, records)), warc.member(whole), whole]):
+        got = archive(spark, tmp_path / f"{k}", data)
+        assert [(r.page_id, r.record_type, r.payload and bytes(r.payload), r.intact) for r in got] == [
+            (1, "response", b"plain body\r\n\r\nmore", True), (2, "response", b"abc", True), (3, "response", None, False), (4, "revisit", None, True)
+        ]
+        assert got[0].url == "http://a/ b" and got[0].payload_digest == warc.payload_digest(b"plain body\r\n\r\nmore") and got[3].payload_bytes is None
+    for cut in (whole[:-9], whole[:-2], whole[:20], b"no archive\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parsed(warc.inflated(cut)))
+        with pytest.raises(ValueError):
+            list(warc.parsed(warc.inflated(warc.member(cut))))
+    with pytest.raises(ValueError, match="inside a gzip member"):
+        list(warc.inflated(warc.member(whole)[:-9]))
+    assert list(warc.parsed(warc.inflated(b""))) == []
+
+
+def test_very_long_pages_and_other_columns(spark):
+    rng = random.Random(9)
+    long = "".join(chr(rng.randint(32, 0x2FFF)) for _ in range(1_500_000))
+    rows = [(1, "u", long, "x", 1), (2, "v", long, "x", 1), (3, "w", "a" * 4096, "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, block int")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert got[1].payload.decode() == long and (got[2].record_type, got[2].refers_to, got[2].payload_bytes) == ("revisit", 1, len(long.encode())) and got[3].intact
+    assert "payload" not in warc.round_trip(pages, payload=False).columns
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=200), max_size=5), st.integers(1, 60))
+def test_records_in_pieces(blocks, piece):
+    data = b"".join(warc._record("response", [("WARC-Page-ID", k)], b) for k, b in enumerate(blocks))
+    got = list(warc.parsed(warc.inflated(b"".join(warc.member(x) for x in [data] * bool(data)), piece)))
+    assert [b for _, b in got] == blocks and [f["warc-page-id"] for f, _ in got] == [str(k) for k in range(len(blocks))]
 
 
 @settings(max_examples=100, deadline=None)

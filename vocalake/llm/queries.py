@@ -100,10 +100,23 @@ FROM d LEFT JOIN kept USING (r)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    found = warc.round_trip(table(spark, sf_dir, "pages"), payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five hex digits of a SHA-1 are four signs of base 32.
+_FIVE = "('0x' || substr(sha, 5 * k + 1, 5))::BIGINT"
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda k: {' || '.join(f"'{_BASE32}'[(({_FIVE} >> {s}) & 31) + 1]" for s in (15, 10, 5, 0))}), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (sha)
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumnRenamed("key", "doc_id")
@@ -171,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_chat": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op10_chat": OP10_SQL}
