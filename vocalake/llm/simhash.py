@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vocalake.llm import shingles
-from vocalake.llm.common import connected, materialised, unused
+from vocalake.llm.common import connected, mapped, materialised, unused
 
 #: Buckets above this size are dealt anew by further masks over their free bits.
 BUCKET = 1024
@@ -97,7 +98,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, plan: Plan) -> DataFrame:
             w1 = np.array([r[1] if plan.longs > 1 else 0 for r in rows], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w0), pa.array(w1)], ["key", "w0", "w1"])
 
-    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(batches, schema)
+    return mapped(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), batches, schema)
 
 
 # ---------------------------------------------------------------- masks
@@ -249,7 +250,7 @@ def links(distinct: DataFrame, plan: Plan, bucket: int = BUCKET) -> DataFrame:
     for level in range(1, levels + 1):
         most = bucket if level < levels else None
         dealt = rows.select("mask", "bits", "w0", "w1").repartition("mask", "bits").sortWithinPartitions("mask", "bits")
-        done = materialised(dealt.mapInArrow(_bucket_links(plan, most), schema), "buckets")
+        done = materialised(mapped(dealt, _bucket_links(plan, most), schema), "buckets")
         here = done.filter("kind = 0").select("a0", "a1", "b0", "b1")
         found = here if found is None else found.union(here)
         hot = done.filter("kind = 1")
@@ -295,10 +296,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: P
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """docs with one row of each component, that with the smallest key, in docs' columns.
 
-    Components are those of `shingles`, or with a plan those of its fingerprints. Of rows that repeat a key, one stays; of rows without a key, one of each text.
+    Components are those of `shingles` (see its keep_one), or with a plan those of its fingerprints; then of rows that repeat
+    a key the one with the smallest hash stays, and of rows without a key one of each text.
     """
+    if plan is None:
+        return shingles.keep_one(docs, key, text)
     named = docs.filter(F.col(f"`{key}`").isNotNull())
-    kept, last = unused("kept_key", docs.columns), components(named, key, text, plan) if plan else shingles.components(named, key, text)
-    last = last.filter(F.col("key") == F.col("component_id")).select(F.col("key").alias(kept)).distinct()
-    stay = named.join(last, named[key] == last[kept], "left_semi").dropDuplicates([key])
+    kept, place = unused("kept_key", docs.columns), unused("place", docs.columns)
+    last = components(named, key, text, plan).filter(F.col("key") == F.col("component_id")).select(F.col("key").alias(kept)).distinct()
+    first = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+    stay = named.join(last, named[key] == last[kept], "left_semi").withColumn(place, first).filter(F.col(place) == 1).drop(place)
     return stay.unionByName(docs.filter(F.col(f"`{key}`").isNull()).dropDuplicates([text]))
