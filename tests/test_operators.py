@@ -1,6 +1,10 @@
 """Hand-computed cases and laws for the operators of the engine."""
 
+import itertools
 import math
+import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -120,9 +124,8 @@ def test_routing(spark):
 
 
 def test_switch_marks(spark):
-    from vocalake.plans.text_queries import g2p_switch_marks
-
-    rows = {r.id: r for r in g2p_switch_marks(spark, "").collect()}
+    lines = spark.createDataFrame([(2, "नमस्ते दोस्तों, today we study the cepstrum और viterbi.")], "id int, text string")
+    rows = {r.id: r for r in text_queries.switch_marked(lines).collect()}
     assert rows[2].boundaries == "3,9,11"  # tokens 3, 8 and 9, each behind the marks before it
     assert rows[2].ipa.split().count("|") == 3
 
@@ -252,3 +255,101 @@ def test_clean_segments_drop_repeated_phrases(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     kept = text_queries.clean_segments(spark, str(tmp_path)).collect()
     assert [(r.turn, r.text) for r in kept] == [(0, phrase.strip())]
+
+
+# ---------------------------------------------------------------- text against plain Python
+
+END = "।!?."
+
+
+def py_sentences(text, longest=200):
+    out, buf = [], ""
+    for piece in re.findall(rf"[{END}]+|\n+|[^{END}\n]+", text):
+        buf += piece
+        if buf[-1] in END or len(buf) > longest:
+            out.append(buf.strip())
+            buf = ""
+    return [s for s in [*out, buf.strip()] if s]
+
+
+def py_chunks(text, most, strip):
+    out, buf = [], ""
+    for piece in re.findall(rf"[{END}]+|[^{END}]+", text):
+        buf += piece
+        if len(buf) >= most and (buf.strip() if strip else buf)[-1:] in tuple(END):
+            out.append(buf.strip())
+            buf = ""
+    return [s for s in [*out, buf.strip()] if s]
+
+
+def py_short(text, most):
+    out = []
+    for c in py_chunks(text, most, True):
+        while len(c) > most:
+            cut = c.rfind(" ", 0, most)
+            cut = cut if cut > 0 else most
+            out.append(c[:cut].strip())
+            c = c[cut:].strip()
+        out.append(c)
+    return [c for c in out if c]
+
+
+def test_sentences_and_chunks(spark):
+    rng = random.Random(4)
+    texts = ["", " ", "a", "...", "x" * 500, "a b " * 200, "no end\n\nat all", "a.   !! b", "word " * 27 + "end.   !! more words here and there. " * 9]
+    texts += ["".join(rng.choice(["a", "bc", " ", "  ", ".", "?!", "\n", "।", "word ", "longerword "]) for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    t = F.col("t")
+    got = rows.select("k", tx.sentences(t, 20).alias("a"), tx.spoken_chunks(t, 30).alias("b"), tx.short_chunks(t, 30).alias("c")).collect()
+    for r in got:
+        assert r.a == py_sentences(texts[r.k], 20), texts[r.k]
+        assert r.b == py_chunks(texts[r.k], 30, False), texts[r.k]
+        assert r.c == py_short(texts[r.k], 30), texts[r.k]
+    long = spark.createDataFrame([("One sentence. " * 100_000,)], "t string").select(F.size(tx.sentences(t)).alias("n")).first()
+    assert long.n == 100_000
+
+
+def py_collapse(tokens, run=5, longest=10, keep=2):
+    out = []
+    for _, own in itertools.groupby(tokens):
+        own = list(own)
+        out += own[:keep] if len(own) >= run and len(own[0]) <= longest else own
+    return out
+
+
+def test_token_runs(spark):
+    rng = random.Random(6)
+    lists = [[], ["a"] * 5, ["abcdefghijk"] * 9, ["a"] * 4, ["a", "a$1", "a"]] + [[rng.choice(["a", "aa", "ab", "b", "é"]) for _ in range(rng.randint(1, 40)) for _ in range(rng.choice([1, 1, 6]))] for _ in range(100)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(lists)], "k int, t array<string>")
+    for r in rows.select("k", tx.collapse_token_runs(F.col("t")).alias("c")).collect():
+        assert r.c == py_collapse(lists[r.k])
+
+
+def test_terms(spark):
+    terms = [(f"w{k}", f"g{k}") for k in range(60)] + [("multi word", "M"), ("c++", "C"), ("", "never"), ("घर", "house")]
+    texts = ["W1 and w1, multi  word; Multi Word w59x xw59 w5", "c++ C++ c+ घर मेराघर", "", " ".join(f"w{k}" for k in range(60))]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("p", tx.protect_terms(F.col("t"), terms))
+    got = [r for r in rows.select("k", "p.*", tx.restore_terms(F.col("p.masked"), F.col("p.glosses")).alias("back")).orderBy("k").collect()]
+    assert got[0].masked == "⟦T1⟧ and ⟦T1⟧, multi  word; ⟦T0⟧ ⟦T2⟧9x xw59 ⟦T2⟧" and got[0].back == "g1 and g1, multi  word; M g59x xw59 g5"
+    assert got[1].masked == "⟦T0⟧ ⟦T0⟧ c+ ⟦T1⟧ मेराघर"
+    assert got[2].masked == "" and got[2].glosses == {}
+    assert len(got[3].glosses) == 51 and len(re.findall(r"w\d+", got[3].masked)) == 9
+
+
+def test_normal_form_of_devanagari(spark):
+    words = ["ज़रा", "ज़रा", "फ़र्क", "क़लम", "पढ़ना", "ऩ", "ऩ", "ऱा", "य़"]
+    got = [r.ipa for r in spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").orderBy("k").select(ph.devanagari(F.col("w")).alias("ipa")).collect()]
+
+    def spoken(word):
+        out, text, i = "", unicodedata.normalize("NFC", word), 0
+        while i < len(text):
+            after = text[i + 1 : i + 2]
+            if text[i] in ph.CONSONANTS:
+                out += ph.CONSONANTS[text[i]] + ("" if after == ph.NO_VOWEL else ph.SIGNS.get(after, "ə"))
+                i += after == ph.NO_VOWEL or after in ph.SIGNS
+            else:
+                out += {**ph.VOWELS, **ph.SIGNS}.get(text[i], "")
+            i += 1
+        return out.removesuffix("ə")
+
+    assert got == [spoken(w) for w in words] and got[0] == got[1] == "dʒəɾaː"

@@ -61,13 +61,29 @@ def route(token: Column) -> Column:
     return F.when(token.rlike(f"[{DEVANAGARI}]"), "hi").when(F.lower(token).isin(ROMAN_HINTS), "hi-roman").otherwise("en")
 
 
+#: Letters whose normal form (NFC) is the letter and the dot below, and pairs whose normal form is one letter.
+DOT = "़"
+APART = {0x958: "क", 0x959: "ख", 0x95A: "ग", 0x95B: "ज", 0x95C: "ड", 0x95D: "ढ", 0x95E: "फ", 0x95F: "य"}
+TOGETHER = {"न": 0x929, "र": 0x931, "ळ": 0x934}
+
+
+def normal(token: Column) -> Column:
+    """The Devanagari letters of a token in Unicode's normal form NFC."""
+    out = token
+    for composed, letter in APART.items():
+        out = F.replace(out, F.lit(chr(composed)), F.lit(letter + DOT))
+    for letter, composed in TOGETHER.items():
+        out = F.replace(out, F.lit(letter + DOT), F.lit(chr(composed)))
+    return out
+
+
 def devanagari(token: Column) -> Column:
     """Syllables in order: a consonant keeps its sign's vowel, none with the vowel killer, else a schwa; a last schwa goes.
 
-    The dots that turn a letter into another stand apart in normal form and are passed over.
+    Letters count in normal form; the dots that stand apart in it are passed over, and so are letters that have no sound here.
     """
     consonants, signs, vowels = "".join(CONSONANTS), "".join(SIGNS), "".join(VOWELS)
-    units = F.regexp_extract_all(token, F.lit(f"([{consonants}][{signs}{NO_VOWEL}]?|[{vowels}]|[{signs}])"), 1)
+    units = F.regexp_extract_all(normal(token), F.lit(f"([{consonants}][{signs}{NO_VOWEL}]?|[{vowels}]|[{signs}])"), 1)
     # longest keys: a consonant with what follows it
     table = VOWELS | SIGNS | {c: ipa + "ə" for c, ipa in CONSONANTS.items()}
     tail = {"": "ə", NO_VOWEL: "", **SIGNS}

@@ -61,75 +61,109 @@ def language_tag(text: Column) -> Column:
     return F.when(deva >= latin, "hin_Deva").otherwise("eng_Latn")
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The matches of a pattern, stripped, without empty ones."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), stripped), lambda s: s != "")
+
+
+def sentence_pattern(longest: int = 200) -> str:
+    """One sentence from where the last ended: what reaches beyond `longest` characters before an end sign goes to
+    the end of its run (of line ends, or of other characters); else all up to and with the end signs, or the rest."""
+    end = SENTENCE_END
+    return rf"[^{end}]{{{longest}}}(?:\n+|[^{end}\n]+)|[^{end}]{{0,{longest}}}[{end}]+|[^{end}]+"
+
+
 def sentences(text: Column, longest: int = 200) -> Column:
     """Sentences with their end signs; a piece without one closes a sentence only beyond `longest` characters.
 
     The text is cut before and behind runs of end signs and of line ends, as pieces that are added to a
-    buffer one by one; the buffer is given out when it ends in an end sign or has grown too long.
+    buffer one by one; the buffer is given out when it ends in an end sign or has grown too long. One
+    pattern says the same without a buffer, so that the work follows the text's length.
     """
-    pieces = F.regexp_extract_all(text, F.lit(rf"([{SENTENCE_END}]+|\n+|[^{SENTENCE_END}\n]+)"), 1)
-    return _packed(pieces, lambda buf: buf.rlike(rf"[{SENTENCE_END}]$") | (F.length(buf) > longest))
+    return _parts(text, sentence_pattern(longest))
+
+
+def chunk_pattern(longest: int = 240) -> str:
+    """Up to the first end of a run of end signs that is `longest` characters or more away, or the rest."""
+    end = SENTENCE_END
+    return rf"(?s:.{{{longest - 1}}}[^{end}]*[{end}]+|.+)"
 
 
 def spoken_chunks(text: Column, longest: int = 240) -> Column:
     """Pieces added up until a chunk has `longest` characters and ends in an end sign."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"([{SENTENCE_END}]+|[^{SENTENCE_END}]+)"), 1)
-    return _packed(pieces, lambda buf: (F.length(buf) >= longest) & buf.rlike(rf"[{SENTENCE_END}]$"))
+    return _parts(text, chunk_pattern(longest))
 
 
-def _packed(pieces: Column, full) -> Column:
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
+def short_pattern(most: int) -> str:
+    """What is left if it has `most` characters, else up to the last blank before that many, or that many."""
+    return rf"(?s:\s*(?:.{{1,{most}}}\z|.{{1,{most - 1}}} |.{{{most}}}))"
 
-    def stripped(buf: Column) -> Column:
-        return F.regexp_replace(buf, r"^\s+|\s+$", "")
 
-    def give(s: Column, buf: Column) -> Column:
-        clean = stripped(buf)
-        return F.when(clean == "", s["out"]).otherwise(F.concat(s["out"], F.array(clean)))
+def short_chunks(text: Column, most: int = 220) -> Column:
+    """Spoken chunks of `most` characters on, those that are longer cut at the last blank below it or hard."""
+    end = SENTENCE_END
+    # white space between end signs is a piece too, and closes a chunk that it makes long enough
+    blank = rf"(?s:.{{{most}}}(?<=[{end}]\s{{1,{most - 1}}})\s*(?=[{end}]))"
+    chunks = _parts(text, f"{blank}|{chunk_pattern(most)}")
+    return F.flatten(F.transform(chunks, lambda c: _parts(c, short_pattern(most))))
 
-    def step(s: Column, piece: Column) -> Column:
-        buf = F.concat(s["buf"], piece)
-        return F.when(full(buf), F.struct(give(s, buf).alias("out"), F.lit("").alias("buf"))).otherwise(F.struct(s["out"].alias("out"), buf.alias("buf")))
 
-    return F.aggregate(pieces, empty, step, lambda s: give(s, s["buf"]))
+def _collapsed_runs(joined: Column, run: int, longest: int, keep: int) -> Column:
+    """Tokens between single blanks, runs of equal ones shrunk."""
+    return F.regexp_replace(joined, rf"(?<![^ ])(\S{{1,{longest}}})(?: \1){{{run - 1},}}(?![^ ])", " ".join(["$1"] * keep))
 
 
 def collapse_token_runs(tokens: Column, run: int = 5, longest: int = 10, keep: int = 2) -> Column:
-    """Runs of at least `run` equal tokens of at most `longest` characters shrink to `keep`.
+    """Runs of at least `run` equal tokens of at most `longest` characters shrink to `keep`. Tokens hold no white space."""
+    shrunk = F.split(_collapsed_runs(F.array_join(tokens, " "), run, longest, keep), " ")
+    return F.when(F.size(tokens) > 0, shrunk).when(tokens.isNotNull(), F.array().cast("array<string>"))
 
-    A token goes if the `keep` tokens before it equal it and some `run` neighbours around it do.
-    """
-    return once(tokens, lambda own: _collapsed(own, run, longest, keep))
 
+# The clean-up patterns that results depend on.
+GLUED = rf"((?:([{LETTERS}]{{1,8}})[-–])((?:[{LETTERS}]{{1,8}})[-–])(?:[{LETTERS}]{{1,8}}[-–]){{2,}})"
+SIGN_RUN = rf"(\s*([{SENTENCE_END}]\s*)){{5,}}"
+BRACKETS = r"(\([^\(\)]{1,12}\)\s*){4,}"
+CHARACTER_RUN = r"(.)\1{6,}"
 
-def _collapsed(tokens: Column, run: int, longest: int, keep: int) -> Column:
 
-    def same(t: Column, i: Column, by: int) -> Column:
-        return F.coalesce(F.get(tokens, i + by) == t, F.lit(False)) if by > 0 else F.coalesce((i + by >= 0) & (F.get(tokens, i + by) == t), F.lit(False))
+def collapse_repeats(text: Column) -> Column:
+    """Glued repeats, token runs, runs of end signs, of brackets and of single characters, in this order."""
+    glued = F.regexp_replace(text, GLUED, "$2-$3")
+    joined = _collapsed_runs(F.btrim(F.regexp_replace(glued, r"\s+", " ")), 5, 10, 2)
+    signs = F.regexp_replace(joined, SIGN_RUN, ". . ")
+    brackets = F.regexp_replace(signs, BRACKETS, "$1$1")
+    return stripped(F.regexp_replace(brackets, CHARACTER_RUN, "$1$1$1"))
 
-    def every(t: Column, i: Column, places: list[int]) -> Column:
-        out = F.lit(True)
-        for by in places:
-            out = out & same(t, i, by)
-        return out
 
-    def goes(t: Column, i: Column) -> Column:
-        some = F.lit(False)
-        for shift in range(run):
-            some = some | every(t, i, [by for by in range(shift - run + 1, shift + 1) if by])
-        return every(t, i, [-k for k in range(1, keep + 1)]) & (F.length(t) <= longest) & some
+#: Placeholders of a sentence go up to this number.
+LAST_TERM = 50
 
-    return F.filter(tokens, lambda t, i: ~goes(t, i))
 
+def protect_terms(text: Column, terms: list[tuple[str, str]]) -> Column:
+    """struct<masked: string, glosses: map<string, string>>: known terms replaced by placeholders ⟦T0⟧, ⟦T1⟧, ..., and the placeholders' glosses.
 
-def collapse_repeats(text: Column) -> Column:
-    """Glued repeats, token runs, runs of end signs, of brackets and of single characters, in this order."""
-    glued = F.regexp_replace(text, rf"((?:([{LETTERS}]{{1,8}})[-–])((?:[{LETTERS}]{{1,8}})[-–])(?:[{LETTERS}]{{1,8}}[-–]){{2,}})", "$2-$3")
-    joined = F.array_join(collapse_token_runs(words(glued)), " ")
-    signs = F.regexp_replace(joined, rf"(\s*([{SENTENCE_END}]\s*)){{5,}}", ". . ")
-    brackets = F.regexp_replace(signs, r"(\([^\(\)]{1,12}\)\s*){4,}", "$1$1")
-    chars = F.regexp_replace(brackets, r"(.)\1{6,}", "$1$1$1")
-    return F.regexp_replace(chars, r"^\s+|\s+$", "")
+    Terms are tried by length, the longest first, equals in the order given, in any case and not inside a run of
+    letters; those found are numbered in this order, and beyond LAST_TERM the rest of the sentence is
+    left alone. The dictionary is a list on the driver; a sentence is matched with the terms that its
+    lower-case text holds only.
+    """
+    ordered = sorted((t for t in terms if t[0]), key=lambda t: -len(t[0]))
+    known = F.array(*[F.struct(F.lit(t.lower()).alias("low"), F.lit(rf"(?iu)(?<![{LETTERS}])\Q{t}\E(?![{LETTERS}])").alias("pattern"), F.lit(g).alias("gloss")) for t, g in ordered])
+    start = F.struct(text.alias("masked"), F.array().cast("array<struct<key: string, value: string>>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        tag = F.concat(F.lit("⟦T"), F.size(s["found"]).cast("string"), F.lit("⟧"))
+        entry = F.array(F.struct(tag.alias("key"), t["gloss"].alias("value")))
+        replaced = F.regexp_replace(s["masked"], t["pattern"], tag)
+        changed = once(replaced, lambda r: F.when(r != s["masked"], F.struct(r.alias("masked"), F.concat(s["found"], entry).alias("found"))).otherwise(s))
+        return F.when(F.size(s["found"]) <= LAST_TERM, changed).otherwise(s)
+
+    there = once(F.lower(text), lambda low: F.filter(known, lambda t: F.contains(low, t["low"])))
+    return F.aggregate(there, start, step, lambda s: F.struct(s["masked"].alias("masked"), F.map_from_entries(s["found"]).alias("glosses")))
 
 
 def restore_terms(text: Column, terms: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,10 +75,11 @@ def cache_split(asked: DataFrame, cache: DataFrame, key: str, value: str) -> tup
     return asked.join(cache.select(key, value), key), asked.select(key).distinct().join(cache, key, "left_anti")
 
 
-def zipped(first: DataFrame, second: DataFrame, by: str, a: str, b: str) -> DataFrame:
+def zipped(first: DataFrame, second: DataFrame, by: str | list[str], a: str, b: str) -> DataFrame:
     """(by, pos, a, b): candidates of two lists by their place; what the shorter list lacks is cut off."""
-    left = first.select(by, F.posexplode(a).alias("pos", a))
-    return left.join(second.select(by, F.posexplode(b).alias("pos", b)), [by, "pos"])
+    keys = [by] if isinstance(by, str) else by
+    left = first.select(*keys, F.posexplode(a).alias("pos", a))
+    return left.join(second.select(*keys, F.posexplode(b).alias("pos", b)), [*keys, "pos"])
 
 
 def gathered(path: DataFrame, target: DataFrame, by: str) -> DataFrame:
@@ -87,11 +88,6 @@ def gathered(path: DataFrame, target: DataFrame, by: str) -> DataFrame:
     return joined.groupBy(by, "j").agg(F.max_by("value", "step").alias("value"))
 
 
-def passes(value: Column, limit: float) -> Column:
-    """Whether a metric is known and below its limit."""
-    return F.coalesce(value < limit, F.lit(False))
-
-
 def batches(rows: Iterator, size: int) -> Iterator[list]:
     """Lists of `size` rows, the last one as long as it is."""
     out: list = []

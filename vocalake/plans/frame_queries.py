@@ -17,10 +17,6 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.series(table(spark, sf_dir, "events"))
 
 
-def _with_conf(frames: DataFrame) -> DataFrame:
-    return fr.judged_windows(frames)
-
-
 def rle(spark, sf_dir):
     return fr.runs(series(spark, sf_dir))
 
@@ -72,7 +68,7 @@ def first_window(spark, sf_dir):
 
 def painted(spark, sf_dir):
     own = series(spark, sf_dir)
-    spans = own.filter("value > 20").select("clip_id", F.col("frame").alias("ord"), F.col("frame").alias("first"), (F.col("frame") + (F.floor("value") % 7)).alias("until"), "label")
+    spans = own.select("clip_id", F.col("frame").alias("ord"), F.col("frame").alias("first"), (F.col("frame") + (F.floor("value") % 7)).alias("until"), "label")
     return fr.painted(own, spans)
 
 
@@ -92,11 +88,11 @@ def boundary_hits(spark, sf_dir):
 
 
 def overlap_join(spark, sf_dir):
-    """Event words of value hundredths of a second against runs of ten frames."""
+    """Event words of value hundredths of a second against all runs of views and of anything else."""
     own = series(spark, sf_dir)
     words = own.select("clip_id", F.col("frame").alias("w_id"), (F.col("frame") * 0.01).alias("w_start"), (F.col("frame") * 0.01 + F.least("value", F.lit(50.0)) / 100).alias("w_end"))
-    spans = fr.runs(own).select("clip_id", F.col("seg_id").alias("s_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    spans = spans.filter("s_id % 3 = 0").withColumn("s_end", F.col("s_start") + 0.0875)
+    spans = fr.runs(own.withColumn("label", (F.col("label") == "view").cast("string")))
+    spans = spans.select("clip_id", F.col("seg_id").alias("s_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
     return joins.overlapping(words, spans, "clip_id", 0.05, 0.25).select("clip_id", "w_id", "s_id", F.round("overlap", 6).alias("overlap"))
 
 
@@ -109,8 +105,9 @@ def energy_mask(spark, sf_dir):
 
 
 def blend(spark, sf_dir):
+    """Each user's series with that of the next user, as far as both go."""
     own = series(spark, sf_dir)
-    other = own.filter("frame < 30").withColumn("value", F.col("value") * 2)
+    other = own.withColumn("clip_id", F.col("clip_id") - 1)
     return signal.blended(own, other).withColumn("value", F.round("value", 6))
 
 
@@ -205,7 +202,7 @@ w AS (SELECT clip_id, n, unnest(range(0, (n - 20) // 5 + 1)) * 5 AS "start" FROM
 s AS (SELECT w.clip_id, "start", avg((label = 'view')::DOUBLE) AS share FROM w JOIN f ON f.clip_id = w.clip_id AND f.frame >= "start" AND f.frame < "start" + 20 GROUP BY ALL)
 SELECT clip_id, min("start") AS "start", round(arg_min(share, "start"), 8) AS share FROM s WHERE share >= 0.3 GROUP BY clip_id""",
     "frame_paint": f"""WITH {F_SQL},
-s AS (SELECT clip_id, frame AS ord, frame + floor(value)::BIGINT % 7 AS until, label FROM f WHERE value > 20),
+s AS (SELECT clip_id, frame AS ord, frame + floor(value)::BIGINT % 7 AS until, label FROM f),
 b AS (SELECT f.clip_id, f.frame, arg_max(s.label, s.ord) AS label FROM f JOIN s ON s.clip_id = f.clip_id AND f.frame >= s.ord AND f.frame < s.until GROUP BY ALL)
 SELECT f.clip_id, f.frame, coalesce(b.label, 'sil') AS label FROM f LEFT JOIN b ON b.clip_id = f.clip_id AND b.frame = f.frame""",
     "frame_deltas": f"""WITH {F_SQL}, d AS (SELECT clip_id, frame, ({' + '.join(f'{k} * (lead(value, {k}) {_P} - lag(value, {k}) {_P})' for k in range(1, 5))}) / 60 AS delta FROM f)
@@ -220,9 +217,9 @@ FROM l JOIN f a ON a.clip_id = l.clip_id AND a.frame = lo JOIN f b ON b.clip_id
 g AS (SELECT clip_id, frame AS g FROM tr), p AS (SELECT clip_id, frame + 2 AS p FROM tr WHERE to_label = 'view'),
 h AS (SELECT g.*, EXISTS (SELECT 1 FROM p WHERE p.clip_id = g.clip_id AND abs(p.p - g.g) <= 1) AS hit FROM g)
 SELECT count(*) AS n_gold, count(*) FILTER (hit) AS hits, round(CASE WHEN count(*) = 0 THEN 1.0 ELSE count(*) FILTER (hit) / count(*) END, 8) AS hit_rate FROM h""",
-    "eval_overlap_join": f"""WITH {F_SQL}, {_RUNS},
+    "eval_overlap_join": f"""WITH {F_SQL.replace("f AS", "g AS", 1)}, f AS (SELECT clip_id, frame, (label = 'view')::VARCHAR AS label, value FROM g), {_RUNS},
 w AS (SELECT clip_id, frame AS w_id, frame * 0.01::DOUBLE AS a, frame * 0.01::DOUBLE + least(value, 50.0::DOUBLE) / 100 AS b FROM f),
-s AS (SELECT clip_id, seg_id AS s_id, "start" AS c, "start" + 0.0875::DOUBLE AS d FROM runs WHERE seg_id % 3 = 0),
+s AS (SELECT clip_id, seg_id AS s_id, "start" AS c, "end" AS d FROM runs),
 o AS (SELECT w.clip_id, w_id, s_id, greatest(0.0::DOUBLE, least(b, d) - greatest(a, c)) AS overlap FROM w JOIN s ON s.clip_id = w.clip_id)
 SELECT clip_id, w_id, s_id, round(overlap, 6) AS overlap FROM o WHERE overlap > 0.05::DOUBLE""",
     "sig_peak_norm": f"""WITH {F_SQL},
@@ -231,7 +228,7 @@ b AS (SELECT *, max(abs(value)) OVER (PARTITION BY clip_id) + 1e-9::DOUBLE AS pe
 SELECT clip_id, frame, round(CASE WHEN peak > 0.5::DOUBLE THEN value / peak * 0.4::DOUBLE ELSE value END, 8) AS value FROM b""",
     "sig_energy_mask": f"""WITH {F_SQL}, m AS (SELECT *, max(value) OVER (PARTITION BY clip_id) AS top FROM f)
 SELECT clip_id, frame, value FROM m WHERE 20 * log10(value / (top + 1e-12) + 1e-12) > -20.0""",
-    "sig_blend": f"WITH {F_SQL} SELECT clip_id, frame, round(0.85::DOUBLE * value + (1 - 0.85::DOUBLE) * (value * 2), 6) AS value FROM f WHERE frame < 30",
+    "sig_blend": f"WITH {F_SQL} SELECT a.clip_id, a.frame, round(0.85::DOUBLE * a.value + (1 - 0.85::DOUBLE) * b.value, 6) AS value FROM f a JOIN f b ON b.clip_id = a.clip_id + 1 AND b.frame = a.frame",
     "sig_snr_sweep": f"""WITH {F_SQL},
 z AS (SELECT clip_id, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6) AS x FROM f WINDOW w AS (PARTITION BY clip_id)),
 e AS (SELECT col0::DOUBLE AS epsilon FROM (VALUES (0.01), (0.05), (0.1), (0.25), (0.5), (1.0), (2.0), (5.0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vocalake.functions.text import tokenize
 from vocalake.operators import joins
 from vocalake.plans.frame_queries import F_SQL, series
+from vocalake.session import shared_path
 from vocalake.sources import transcripts as tr
 from vocalake.sources.tables import table
 from vocalake.streaming import frames as sf
@@ -35,11 +36,11 @@ def transcript_words(spark, sf_dir):
 
 
 def zip_join(spark, sf_dir):
-    """Tokens of a conversation's first turn against those of its second, by place."""
+    """Tokens of each turn of a conversation against those of the next, by place."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokenize(F.col("text")).alias("t"))
-    first = rows.filter("turn = 0").select("conv_id", F.col("t").alias("a"))
-    second = rows.filter("turn = 1").select("conv_id", F.col("t").alias("b"))
-    return joins.zipped(first, second, "conv_id", "a", "b")
+    first = rows.select("conv_id", "turn", F.col("t").alias("a"))
+    second = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("b"))
+    return joins.zipped(first, second, ["conv_id", "turn"], "a", "b")
 
 
 def path_gather(spark, sf_dir):
@@ -53,10 +54,7 @@ def stream_windows(spark, sf_dir):
     """The events as a stream, in sliding windows; each batch's complete result replaces the last."""
     rows = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file or a folder
-    name = "stream_windows"
-    query = sf.sliding(sf.with_time(stream)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.table(name)
+    out = sf.finished(sf.sliding(sf.with_time(stream)), shared_path(spark, "stream-windows"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "label", "n", F.round("total", 4).alias("total"))
 
 
@@ -74,7 +72,7 @@ SQL = {
 SELECT conv_id, seg::INT AS seg, n AS n_words, turn * 10.0::DOUBLE + 10 AS last FROM s""",
     "join_zip": f"""WITH t AS (SELECT conv_id, turn, {_TOKENS} AS t FROM conversations),
 u AS (SELECT conv_id, turn, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS pos FROM t)
-SELECT a.conv_id, a.pos::INT AS pos, a.w AS a, b.w AS b FROM u a JOIN u b ON b.conv_id = a.conv_id AND b.pos = a.pos WHERE a.turn = 0 AND b.turn = 1""",
+SELECT a.conv_id, a.turn, a.pos::INT AS pos, a.w AS a, b.w AS b FROM u a JOIN u b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.pos = a.pos""",
     "join_path_gather": f"WITH {F_SQL} SELECT clip_id, frame // 2 AS j, arg_max(value, frame) AS value FROM f GROUP BY ALL",
     "stream_windows": """WITH w AS (SELECT *, unnest(range(0, 2)) AS back FROM events),
 k AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - back * INTERVAL 2 HOUR AS s, event_type AS label, value FROM w)

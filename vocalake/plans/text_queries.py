@@ -7,26 +7,24 @@ from pyspark.sql import functions as F
 
 from vocalake.functions import phonemes as ph
 from vocalake.functions import text as tx
-from vocalake.operators import joins
 from vocalake.operators.kernels import compression_ratio
 from vocalake.sources.tables import table
 
-#: A glossary of frequent words of the texts, and its glosses.
-GLOSSARY = {"the": "T-the", "and": "T-and", "of": "T-of", "que": "T-que", "der": "T-der", "les": "T-les", "thing": "T-thing"}
-#: Code-switched lines: no table holds Devanagari.
-MIXED = [
-    (1, "aaj hum stochastic model padhenge, kya samajh aaya?"),
-    (2, "नमस्ते दोस्तों, today we study the cepstrum और viterbi."),
-    (3, "क्या यह transformer hai? हाँ।"),
-    (4, "see day chat oxen code-switching"),
-    (5, "यह मेरा घर है। Speech recognition theek hai!"),
-    (6, "ज़रा पढ़ना, फ़र्क ढूँढ़ो"),
-    (7, ""),
-]
+#: A glossary: frequent words of the texts, each with a gloss made from it.
+WORDS = (
+    "the and that was for with this are tion from ing ble thth thon erer ther des thre than thha erst eren thin thhe thor que thes thea "
+    "thed thti thnd thnt anea erin thst then thly thou thble thsh thing erre thtion eran eron erhe onou erth onre thwh ered eror anon erat "
+    "ernd eres erha erea erwh enen ernt onon oner oned ering erly erou"
+)
+GLOSSARY = [(w, f"T-{w}") for w in WORDS.split()]
+#: Letters and Devanagari signs of like sound, two of them composed with a dot that normal form sets apart, and the dot itself.
+LATIN, DEVA = "kgcjtdnpbmyrlvshaeiouwzfqx", "कगचजटडनपबमयरलवसहािेीोुव\u095b\u095e\u0958\u093c"
 
 
-def _mixed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MIXED, "id int, text string")
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts code-switched: every second word is spelled in Devanagari, which no table holds."""
+    switched = F.transform(F.split("text", " "), lambda w, i: F.when(i % 2 == 1, F.translate(F.lower(w), LATIN, DEVA)).otherwise(w))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_join(switched, " ").alias("text"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +76,12 @@ def collapse_runs(spark, sf_dir):
 
 
 def script_route(spark, sf_dir):
-    tokens = _mixed(spark).select("id", F.posexplode(tx.speech_tokens(F.col("text"))).alias("pos", "token"))
+    tokens = _mixed(spark, sf_dir).select("id", F.posexplode(tx.speech_tokens(F.col("text"))).alias("pos", "token"))
     return tokens.select("id", "pos", "token", ph.route(F.col("token")).alias("route"), tx.script_of(F.col("token")).alias("script"))
 
 
 def lang_tag(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(_mixed(spark).select((-F.col("id").cast("long")).alias("id"), "text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(_mixed(spark, sf_dir).select((-F.col("id").cast("long") - 1).alias("id"), "text"))
     return docs.select("id", tx.language_tag(F.col("text")).alias("tag"))
 
 
@@ -97,38 +95,33 @@ def sentence_counts(spark, sf_dir):
     return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.size("c").cast("long").alias("n_chunks"), F.md5(F.array_join("c", "|")).alias("digest"))
 
 
-def protect_terms(spark, sf_dir):
-    """Tokens that the glossary knows, as a join: the number of a term is its place in the sentence by length, then name."""
-    tokens = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("pos", "token"))
-    gloss = spark.createDataFrame(list(GLOSSARY.items()), "term string, gloss string")
-    known = joins.looked_up(tokens, F.broadcast(gloss), "token", "term").filter("gloss IS NOT NULL")
-    terms = known.groupBy("item_id", F.lower("token").alias("term"), "gloss").agg(F.count("*").alias("n"))
-    order = F.dense_rank().over(_by_length())
-    return terms.withColumn("number", order - 1).filter("number <= 50").select("item_id", "term", "gloss", "n", "number")
+def short_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.short_chunks(F.col("text"), 140).alias("c"))
+    return docs.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.coalesce(F.array_max(F.transform("c", F.length)), F.lit(0)).alias("longest"), F.md5(F.array_join("c", "|")).alias("digest"))
 
 
-def _by_length():
-    from pyspark.sql import Window as W
+def _protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.once(F.col("text"), lambda t: tx.protect_terms(t, GLOSSARY)).alias("p"))
 
-    return W.partitionBy("item_id").orderBy(F.desc(F.length("term")), "term")
+
+def protect_terms(spark, sf_dir):
+    """Glossary words as placeholders, of which a text gets 51 at most, as a sentence does."""
+    return _protected(spark, sf_dir).select("doc_id", F.size("p.glosses").cast("long").alias("n_terms"), F.md5("p.masked").alias("digest"))
 
 
 def restore_terms(spark, sf_dir):
-    terms = F.create_map(*[F.lit(x) for k, (t, g) in enumerate(GLOSSARY.items()) for x in (f"⟦T{k}⟧", g)])
-    text = F.col("text")
-    for k, t in enumerate(GLOSSARY):
-        text = F.regexp_replace(text, rf"(?i)(?<![{tx.LETTERS}]){t}(?![{tx.LETTERS}])", f"⟦T{k}⟧")
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.alias("masked"))
-    return items.select("item_id", F.md5(tx.restore_terms(F.col("masked"), terms)).alias("digest"))
+    back = _protected(spark, sf_dir).select("doc_id", tx.restore_terms(F.col("p.masked"), F.col("p.glosses")).alias("text"))
+    return back.select("doc_id", F.md5("text").alias("digest"))
 
 
-def _spoken(spark) -> DataFrame:
-    tokens = _mixed(spark).select("id", F.posexplode(tx.speech_tokens(F.col("text"))).alias("pos", "token"))
+def _spoken(lines: DataFrame) -> DataFrame:
+    """The tokens of lines (id, text) with their routes and phonemes."""
+    tokens = lines.select("id", F.posexplode(tx.speech_tokens(F.col("text"))).alias("pos", "token"))
     return tokens.select("id", "pos", "token", ph.route(F.col("token")).alias("route"), ph.spoken(F.col("token")).alias("ipa"))
 
 
 def g2p(spark, sf_dir):
-    return _spoken(spark)
+    return _spoken(_mixed(spark, sf_dir))
 
 
 def g2p_english(spark, sf_dir):
@@ -137,10 +130,14 @@ def g2p_english(spark, sf_dir):
 
 
 def g2p_switch_marks(spark, sf_dir):
+    return switch_marked(_mixed(spark, sf_dir))
+
+
+def switch_marked(lines: DataFrame) -> DataFrame:
     """Each line's phonemes with a mark where the route changes; marks count in the places of later ones."""
     from pyspark.sql import Window as W
 
-    spoken = _spoken(spark).withColumn("lang", F.when(F.col("token").rlike(f"[{tx.LETTERS}]"), F.col("route")))
+    spoken = _spoken(lines).withColumn("lang", F.when(F.col("token").rlike(f"[{tx.LETTERS}]"), F.col("route")))
     order = W.partitionBy("id").orderBy("pos")
     before = F.last("lang", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     spoken = spoken.withColumn("mark", F.coalesce((before != F.col("lang")).cast("int"), F.lit(0)))
@@ -152,7 +149,7 @@ def g2p_switch_marks(spark, sf_dir):
 
 
 _LET = "A-Za-z\\x{0900}-\\x{097F}"
-_MIXED = "mixed(id, text) AS (VALUES " + ", ".join("({}::INT, '{}')".format(k, t.replace("'", "''")) for k, t in MIXED) + ")"
+_MIXED = f"mixed AS (SELECT item_id AS id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN i % 2 = 0 THEN translate(lower(w), '{LATIN}', '{DEVA}') ELSE w END), ' ') AS text FROM benchmark)"
 _SPEECH = f"regexp_extract_all(text, '[{_LET}''\\-]+|[^\\s{_LET}]')"
 _HINTS = ", ".join(f"'{w}'" for w in ph.ROMAN_HINTS)
 _ROUTE = f"CASE WHEN regexp_matches(token, '[\\x{{0900}}-\\x{{097F}}]') THEN 'hi' WHEN lower(token) IN ({_HINTS}) THEN 'hi-roman' ELSE 'en' END"
@@ -178,6 +175,38 @@ def _roman_sql(word: str) -> str:
     return f"coalesce(array_to_string(list_transform(regexp_extract_all(lower({word}), '{pairs}|[{single}]'), lambda u: CASE u {table_} END), ''), '')"
 
 
+def _case(value: str, known: dict[str, str], other: str = "NULL") -> str:
+    return f"CASE {value} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in known.items())} ELSE {other} END"
+
+
+def _devanagari_sql(word: str) -> str:
+    consonants, signs, vowels = "".join(ph.CONSONANTS), "".join(ph.SIGNS), "".join(ph.VOWELS)
+    units = f"regexp_extract_all(nfc_normalize({word}), '[{consonants}][{signs}{ph.NO_VOWEL}]?|[{vowels}]|[{signs}]')"
+    two = f"{_case('substring(u, 1, 1)', ph.CONSONANTS)} || {_case('substring(u, 2, 1)', {ph.NO_VOWEL: '', **ph.SIGNS})}"
+    one = _case("u", ph.VOWELS | ph.SIGNS | {c: ipa + "ə" for c, ipa in ph.CONSONANTS.items()})
+    return f"regexp_replace(coalesce(array_to_string(list_transform({units}, lambda u: CASE WHEN length(u) = 2 THEN {two} ELSE {one} END), ''), ''), 'ə$', '')"
+
+
+_SPOKEN = f"""{_MIXED}, t AS (SELECT id, unnest(s) AS token, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT id, {_SPEECH} AS s FROM mixed)),
+r AS (SELECT *, {_ROUTE} AS route, regexp_matches(token, '[{_LET}]') AS letters FROM t),
+sp AS (SELECT id, pos::INT AS pos, token, route, letters, CASE WHEN NOT letters THEN token WHEN route = 'hi' THEN {_devanagari_sql('token')}
+  WHEN route = 'hi-roman' THEN {_roman_sql('token')} ELSE {_english_sql('token')} END AS ipa FROM r)"""
+_WS = "[\\x20\\x09-\\x0D]"
+
+
+def _parts_sql(value: str, pattern: str) -> str:
+    """The stripped matches of a pattern that aren't empty."""
+    plain = pattern.replace("\\s", _WS)
+    return f"list_filter(list_transform(regexp_extract_all({value}, '{plain}'), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
+
+
+_E = tx.SENTENCE_END
+_GLOSS = f"""g(term, gloss, ord) AS (VALUES {', '.join(f"('{k}', '{v}', {n})" for n, (k, v) in enumerate(GLOSSARY))}),
+tk AS (SELECT doc_id, unnest(s) AS token, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[{_LET}]+|[^{_LET}]+') AS s FROM documents)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, ord) - 1 AS number FROM (SELECT DISTINCT doc_id, term, gloss, ord FROM tk JOIN g ON g.term = lower(token))),
+j AS (SELECT tk.doc_id, pos, token, number, gloss FROM tk LEFT JOIN n ON n.doc_id = tk.doc_id AND n.term = lower(token) AND number <= 50)"""
+
+
 QUERIES = {
     "text_tokenize": tokenize,
     "text_dedup_runs": dedup_runs,
@@ -190,6 +219,7 @@ QUERIES = {
     "text_lang_tag": lang_tag,
     "text_sentence_split": sentence_split,
     "text_sentence_counts": sentence_counts,
+    "text_short_chunks": short_chunks,
     "text_protect_terms": protect_terms,
     "text_restore_terms": restore_terms,
     "g2p_mixed": g2p,
@@ -203,10 +233,6 @@ SELECT doc_id, len(t)::BIGINT AS n_kept, md5(coalesce(array_to_string(t, ' '), '
     "text_excess_repeat": f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{_LET}]+')) AS w FROM documents),
 c AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY ALL), m AS (SELECT doc_id, max(c) AS most FROM c GROUP BY doc_id)
 SELECT d.doc_id, coalesce(most, 0) AS most, coalesce(most, 0) > 6 AS excessive FROM documents d LEFT JOIN m USING (doc_id)""",
-    "text_clean_segments": f"""WITH s AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, -(turn % 8) / 6 AS lp FROM conversations),
-r AS (SELECT conv_id, turn, max(c) AS most FROM (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[{_LET}]+')) AS w FROM s) GROUP BY ALL) GROUP BY ALL),
-k AS (SELECT s.conv_id, s.turn, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM s LEFT JOIN r USING (conv_id, turn) WHERE text <> '' AND lp >= -1.0 AND coalesce(most, 0) <= 6)
-SELECT conv_id, turn, array_to_string({_DEDUP}, ' ') AS text FROM k""",
     "text_collapse_runs": """WITH w AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents))),
 c AS (SELECT *, coalesce((w <> lag(w) OVER (PARTITION BY doc_id ORDER BY i))::INT, 0) AS ch FROM w),
 g AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM c),
@@ -215,11 +241,38 @@ o AS (SELECT doc_id, count(*) AS n_kept, string_agg(w, ' ' ORDER BY i) AS t FROM
 SELECT d.doc_id, coalesce(n_kept, 0)::BIGINT AS n_kept, md5(coalesce(t, '')) AS digest FROM documents d LEFT JOIN o USING (doc_id)""",
     "text_script_route": f"""WITH {_MIXED}, t AS (SELECT id, unnest(s) AS token, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT id, {_SPEECH} AS s FROM mixed))
 SELECT id, pos::INT AS pos, token, {_ROUTE} AS route, CASE WHEN regexp_matches(token, '[\\x{{0900}}-\\x{{097F}}]') THEN 'hin' WHEN regexp_matches(token, '[A-Za-z]') THEN 'eng' ELSE 'sil' END AS script FROM t""",
-    "text_lang_tag": f"""WITH {_MIXED}, d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM mixed)
+    "text_lang_tag": f"""WITH {_MIXED}, d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id - 1, text FROM mixed)
 SELECT id, CASE WHEN len(regexp_extract_all(text, '[\\x{{0900}}-\\x{{097F}}]+')) >= len(regexp_extract_all(text, '[A-Za-z]+')) THEN 'hin_Deva' ELSE 'eng_Latn' END AS tag FROM d""",
-    "text_protect_terms": f"""WITH g(term, gloss) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in GLOSSARY.items())}),
-t AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS term FROM benchmark),
-n AS (SELECT item_id, term, gloss, count(*) AS n FROM t JOIN g USING (term) GROUP BY ALL)
-SELECT item_id, term, gloss, n, (dense_rank() OVER (PARTITION BY item_id ORDER BY length(term) DESC, term) - 1)::INT AS number FROM n""",
+    "text_sentence_split": f"""WITH s AS (SELECT item_id AS id, {_parts_sql('text', tx.sentence_pattern())} AS s FROM benchmark)
+SELECT id, (generate_subscripts(s, 1) - 1)::INT AS pos, unnest(s) AS sentence FROM s""",
+    "text_sentence_counts": f"""WITH d AS (SELECT doc_id, {_parts_sql('text', tx.sentence_pattern())} AS s, {_parts_sql('text', tx.chunk_pattern())} AS c FROM documents)
+SELECT doc_id, len(s)::BIGINT AS n_sentences, len(c)::BIGINT AS n_chunks, md5(coalesce(array_to_string(c, '|'), '')) AS digest FROM d""",
+    "text_short_chunks": f"""WITH d AS (SELECT doc_id, {_parts_sql('text', tx.chunk_pattern(140))} AS c FROM documents),
+k AS (SELECT doc_id, flatten(list_transform(c, lambda y: {_parts_sql('y', tx.short_pattern(140))})) AS c FROM d)
+SELECT doc_id, len(c)::BIGINT AS n_chunks, coalesce(list_max(list_transform(c, lambda x: length(x))), 0)::INT AS longest, md5(coalesce(array_to_string(c, '|'), '')) AS digest FROM k""",
+    "text_collapse_repeats": f"""WITH g AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '((?:([{_LET}]{{1,8}})[-–])((?:[{_LET}]{{1,8}})[-–])(?:[{_LET}]{{1,8}}[-–]){{2,}})', '\\2-\\3', 'g'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM g),
+c AS (SELECT *, coalesce((w <> lag(w) OVER (PARTITION BY doc_id ORDER BY i))::INT, 0) AS ch FROM w),
+u AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM c),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, u) AS n, row_number() OVER (PARTITION BY doc_id, u ORDER BY i) AS k FROM u),
+o AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM r WHERE n < 5 OR length(w) > 10 OR k <= 2 GROUP BY doc_id),
+b AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '({_WS}*([{_E}]{_WS}*)){{5,}}', '. . ', 'g'), '(\\([^\\(\\)]{{1,12}}\\){_WS}*){{4,}}', '\\1\\1', 'g'), '') AS s FROM o),
+h AS (SELECT doc_id, unnest(s) AS h, generate_subscripts(s, 1) AS i FROM b),
+hc AS (SELECT *, coalesce((h <> lag(h) OVER (PARTITION BY doc_id ORDER BY i))::INT, 0) AS ch FROM h),
+hu AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM hc),
+hr AS (SELECT *, count(*) OVER (PARTITION BY doc_id, u) AS n, row_number() OVER (PARTITION BY doc_id, u ORDER BY i) AS k FROM hu),
+ho AS (SELECT doc_id, string_agg(h, '' ORDER BY i) AS t FROM hr WHERE n < 7 OR k <= 3 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(regexp_replace(t, '^{_WS}+|{_WS}+$', '', 'g'), '')) END AS digest FROM documents d LEFT JOIN ho USING (doc_id)""",
+    "text_protect_terms": f"""WITH {_GLOSS}
+SELECT doc_id, count(DISTINCT number) AS n_terms, md5(string_agg(CASE WHEN number IS NULL THEN token ELSE '⟦T' || number || '⟧' END, '' ORDER BY pos)) AS digest FROM j GROUP BY doc_id""",
+    "text_restore_terms": f"""WITH {_GLOSS}
+SELECT doc_id, md5(string_agg(coalesce(gloss, token), '' ORDER BY pos)) AS digest FROM j GROUP BY doc_id""",
+    "g2p_mixed": f"WITH {_SPOKEN} SELECT id, pos, token, route, ipa FROM sp",
+    "g2p_switch_marks": f"""WITH {_SPOKEN},
+l AS (SELECT *, CASE WHEN letters THEN route END AS lang FROM sp),
+b AS (SELECT *, last_value(lang IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l),
+m AS (SELECT *, coalesce((before <> lang)::INT, 0) AS mark FROM b),
+p AS (SELECT *, CASE WHEN mark = 1 THEN pos + sum(mark) OVER (PARTITION BY id ORDER BY pos) - 1 END AS place FROM m)
+SELECT id, string_agg(CASE WHEN mark = 1 THEN '| ' || ipa ELSE ipa END, ' ' ORDER BY pos) AS ipa, coalesce(string_agg(place::BIGINT::VARCHAR, ',' ORDER BY place) FILTER (mark = 1), '') AS boundaries, count(*) AS n_tokens FROM p GROUP BY id""",
     "g2p_english": f"""WITH w AS (SELECT DISTINCT unnest({_TOK}) AS word FROM benchmark) SELECT word, {_english_sql('word')} AS ipa, {_roman_sql('word')} AS roman FROM w""",
 }

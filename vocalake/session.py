@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,3 +43,13 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="vocalake-")
+    return f"{found.rstrip('/')}/vocalake/{tag}-{uuid.uuid4().hex}"

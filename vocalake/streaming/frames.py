@@ -22,6 +22,15 @@ def sliding(events: DataFrame, size: str = "4 hours", hop: str = "2 hours") -> D
     return sums.select(F.col("w.start").alias("start"), "label", "n", "total")
 
 
+def finished(stream: DataFrame, path: str) -> DataFrame:
+    """What an aggregating stream gives once it has taken all that is there: each batch's whole result replaces the
+    last as files below path, so that nothing gathers on the driver."""
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state")
+    query = query.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/rows")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_lengths(events: DataFrame) -> DataFrame:
     """(user_id, label, n): runs of a user's equal labels, given out when the label changes.
 
