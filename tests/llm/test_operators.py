@@ -410,6 +410,29 @@ def test_neighbours_of_equal_vectors_are_the_smallest_keys(spark):
     assert equal and all(got[q] == _brute(vectors.astype(float), ids, at[q], 20) for q in equal)
 
 
+def test_neighbours_of_repeated_keys_and_ties(spark):
+    """30 vectors of one key nearest to a query, scores equal beyond the last rank, repeated rows, columns of other names."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(7, [100.0 + k, 0.0, float(k % 3), 0.0]) for k in range(30)]
+    rows += [(100 + int(i), [2.0, *rng.integers(-3, 4, 3).astype(float).tolist()]) for i in rng.permutation(60)] * 2
+    rows += [(20, [1.0, 1.0, 0.0, 0.0]), (20, [3.0, 0.0, 0.0, 1.0])]
+    table = spark.createDataFrame([(*r, 1, 2.0, "x") for r in rows], "vec_id long, embedding array<float>, place int, score double, v string")
+    for least in (8, 1000):
+        found = neighbours.search(table, is_query=F.col("vec_id") % 20 == 0, k=20, window=1.0, least_window=least, block=16, curves=2).collect()
+        got = defaultdict(list)
+        for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+            got[r.query_id].append((r.vec_id, r.score))
+        best = defaultdict(lambda: -np.inf)
+        for q, v in rows:
+            for i, w in rows:
+                if q % 20 == 0 and i != q:
+                    best[q, i] = max(best[q, i], float(np.dot(v, w)))
+        for q in {q for q, _ in rows if q % 20 == 0}:
+            want = sorted(((i, s) for (a, i), s in best.items() if a == q), key=lambda x: (-x[1], x[0]))[:20]
+            assert got[q] == want
+        assert sorted(got) == sorted({q for q, _ in rows if q % 20 == 0})
+
+
 def test_recall_on_the_table(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.1/embeddings.parquet")
     found = neighbours.search(table, is_query=F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()

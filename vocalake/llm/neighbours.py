@@ -7,7 +7,9 @@ best of a query's window, and the blocks' best are merged and ranked by the exac
 
 Equal vectors are one place on the curves: only distinct vectors are ordered and searched, and each one
 found stands for the k + 1 smallest keys that hold it, more of which no answer can hold. So a group of
-equal vectors, however large, costs one row on each curve and its ties are exact.
+equal vectors, however large, costs one row on each curve and its ties are exact. A key that has several
+vectors is a place of its own for each of them, and counts once among the candidates of a query. Places
+travel as numbers; the vectors join them once, where they are compared.
 
 The window is a share of the rows. On vectors without structure, such as random directions, a recall
 of 0.9 takes about half of all pairs whatever the order, so that a window of fixed size would lose
@@ -88,24 +90,37 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of a row of scores, best first, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def _best(scores: np.ndarray, lows: np.ndarray, most: int, margin: float) -> np.ndarray:
+    """Places of all that can be among the best with `most` different keys, by scores that may be off by half the margin; -inf is none."""
+    near = np.flatnonzero(scores > -np.inf)
+    take = 2 * most
+    while take < len(near):
+        least = np.partition(scores[near], len(near) - take)[len(near) - take]
+        if len(np.unique(lows[near[scores[near] >= least]])) >= most:
+            return near[scores[near] >= least - margin]
+        take *= 2
+    return near
 
 
-def _distinct(rows: DataFrame, most: int) -> DataFrame:
-    """(gid, v, low, ids, asks): each different vector of rows (id, v, asks), its smallest key, its `most` smallest keys, and whether any row of it asks."""
-    first = F.row_number().over(W.partitionBy("v").orderBy("id"))
-    small = rows.select("v", "id").distinct().withColumn("place", first).filter(F.col("place") <= most)
-    small = small.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    asking = rows.filter("asks").select("v").distinct().withColumn("asks", F.lit(True))
-    whole = small.join(asking, "v", "left").select("v", F.col("ids")[0].alias("low"), "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
-    return materialised(whole.select(F.monotonically_increasing_id().alias("gid"), "*"), "vectors")
+def _distinct(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The places of rows (id, v, asks), and (query_id, asker) of the rows that ask.
+
+    Places: (gid, v, own, low, ids, asks), a row for each different vector with its smallest key, its `most` smallest keys,
+    and whether any row of it asks. A key with several vectors has places of its own (own is the key).
+    """
+    each = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    several = each.groupBy("id").count().filter("count > 1").select(F.col("id").alias("own"))
+    each = each.join(several, each["id"] == several["own"], "left")
+    first = F.row_number().over(W.partitionBy("v", "own").orderBy("id"))
+    small = each.select("v", "own", "id").withColumn("place", first).filter(F.col("place") <= most)
+    small = small.groupBy("v", "own").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    asking = each.filter("asks").select(F.col("v").alias("w"), F.col("own").alias("by"), F.col("id").alias("query_id"))
+    asked = asking.select("w", "by").distinct().withColumn("asks", F.lit(True))
+    whole = small.join(asked, (F.col("v") == F.col("w")) & F.col("own").eqNullSafe(F.col("by")), "left")
+    whole = whole.select("v", "own", F.col("ids")[0].alias("low"), "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
+    places = materialised(whole.select(F.monotonically_increasing_id().alias("gid"), "*"), "vectors")
+    askers = asking.join(places.filter("asks"), (F.col("v") == F.col("w")) & F.col("own").eqNullSafe(F.col("by")))
+    return places, askers.select("query_id", F.col("gid").alias("asker"))
 
 
 def search(
@@ -117,7 +132,8 @@ def search(
     is_query: which rows are queries (all, if None); a row is no candidate of its own key. Vectors
     that are null, empty, zero or hold null or non-finite components, vectors of another length than
     most, and rows without a key take no part. Ties go to the smaller key. Of rows that repeat a key,
-    the candidate counts once, with its best score. A table without vectors gives an empty result.
+    the candidate counts once, with its best score, and so does a query that has several vectors. A table
+    without vectors gives an empty result; other columns are not looked at, whatever their names.
     """
     asks = F.lit(True) if is_query is None else is_query
     rows = table.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"), asks.alias("asks"))
@@ -128,19 +144,19 @@ def search(
         return table.sparkSession.createDataFrame([], schema)
     dim = sizes[0][0]
     rows = rows.filter(F.size("v") == dim)
-    vectors = _distinct(rows, k + 1)
+    vectors, askers = _distinct(rows, k + 1)
     n = vectors.count()
     reach = max(least_window, int(np.ceil(n * window)))
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            raw = _vectors(batch.column(2), dim).astype(np.float64)
+            raw = _vectors(batch.column(3), dim).astype(np.float64)
             scale = np.abs(raw).max(axis=1, keepdims=True) if len(raw) else raw
             unit = raw / scale
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             for c in range(curves):
-                arrays = [pa.array(np.full(len(raw), c, dtype=np.int32)), pa.array(keys_on(unit, c, seed=seed)), *(batch.column(i) for i in range(4))]
-                yield pa.RecordBatch.from_arrays(arrays, ["curve", "at", "gid", "low", "v", "asks"])
+                arrays = [pa.array(np.full(len(raw), c, dtype=np.int32)), pa.array(keys_on(unit, c, seed=seed)), *(batch.column(i) for i in range(3))]
+                yield pa.RecordBatch.from_arrays(arrays, ["curve", "at", "gid", "low", "asks"])
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), {}
@@ -151,51 +167,53 @@ def search(
                 own = curve == c
                 place[own] = done.get(c, 0) + np.arange(own.sum())
                 done[c] = done.get(c, 0) + int(own.sum())
-            arrays = [batch.column(0), pa.array(np.full(len(curve), part, dtype=np.int32)), pa.array(place), *(batch.column(i) for i in (2, 3, 4, 5))]
-            yield pa.RecordBatch.from_arrays(arrays, ["curve", "part", "place", "gid", "low", "v", "asks"])
+            arrays = [batch.column(0), pa.array(np.full(len(curve), part, dtype=np.int32)), pa.array(place), batch.column(2), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(arrays, ["curve", "part", "place", "gid", "asks"])
 
-    kind = table.schema[vector].dataType.simpleString()
-    on_curves = mapped(vectors.select("gid", "low", "v", "asks"), keyed, f"curve int, at long, gid long, low long, v {kind}, asks boolean")
+    on_curves = mapped(vectors.select("gid", "low", "asks", "v"), keyed, "curve int, at long, gid long, low long, asks boolean")
     parts = max(curves, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = on_curves.repartitionByRange(parts, "curve", "at", "low", "gid").sortWithinPartitions("curve", "at", "low", "gid")
-    placed = materialised(mapped(ordered, counted, f"curve int, part int, place long, gid long, low long, v {kind}, asks boolean"), "curves")
+    placed = materialised(mapped(ordered, counted, "curve int, part int, place long, gid long, asks boolean"), "curves")
     # a partition's first row has as many rows before it as the curve's earlier partitions hold
     counts = placed.groupBy("curve", "part").agg(F.count("*").alias("own"))
     counts = counts.withColumn("base", F.sum("own").over(W.partitionBy("curve").orderBy("part")) - F.col("own")).drop("own")
-    ranked = placed.join(counts, ["curve", "part"]).withColumn("place", F.col("place") + F.col("base")).select("curve", "place", "gid", "low", "v", "asks")
-    stored = ranked.select("curve", F.expr(f"place div {block}").alias("block"), F.lit(False).alias("query"), "place", "gid", "low", "v")
+    ranked = placed.join(counts, ["curve", "part"]).withColumn("place", F.col("place") + F.col("base")).select("curve", "place", "gid", "asks")
+    stored = ranked.select("curve", F.expr(f"place div {block}").alias("block"), F.lit(False).alias("query"), "place", "gid")
     asked = ranked.filter("asks").select(
         "curve",
         F.explode(F.expr(f"sequence(greatest(place - {reach}, 0L) div {block}, least(place + {reach}, {n - 1}L) div {block})")).alias("block"),
-        F.lit(True).alias("query"), "place", "gid", "low", "v",
+        F.lit(True).alias("query"), "place", "gid",
     )
+    met = stored.union(asked).join(vectors.select("gid", "low", "v"), "gid")
 
     def compared(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy()
         place, gids, lows = (group.column(x).to_numpy() for x in ("place", "gid", "low"))
         data = _vectors(group.column("v").combine_chunks(), dim).astype(np.float64)
         q, c = np.flatnonzero(query), np.flatnonzero(~query)
+        length = np.sqrt((data * data).sum(axis=1))
+        most = float(length[c].max(initial=0.0))
         out: list[list[np.ndarray]] = [[], [], []]
         for low in range(0, len(q) if len(c) else 0, 256):
             part = q[low : low + 256]
             scores = data[part] @ data[c].T
             scores[np.abs(place[part][:, None] - place[c]) > reach] = -np.inf
             for row, i in zip(scores, part, strict=True):
-                near = _best(row, lows[c], k + 1)
-                near = near[row[near] > -np.inf]
-                own = c[near]
-                out[0].append(np.full(len(own), gids[i]))
-                out[1].append(gids[own])
-                out[2].append((data[own] * data[i]).sum(axis=1))
+                own = c[_best(row, lows[c], k + 1, 1e-12 * dim * float(length[i]) * most)]
+                exact = (data[own] * data[i]).sum(axis=1)
+                order = np.lexsort((gids[own], lows[own], -exact))
+                _, first = np.unique(lows[own][order], return_index=True)
+                kept = order[np.sort(first)[: k + 1]]
+                out[0].append(np.full(len(kept), gids[i]))
+                out[1].append(gids[own[kept]])
+                out[2].append(exact[kept])
         found = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"asker": found[0].astype(np.int64), "gid": found[1].astype(np.int64), "score": found[2].astype(np.float64)})
 
-    near = stored.union(asked).groupBy("curve", "block").applyInArrow(compared, "asker long, gid long, score double")
-    best = near.groupBy("asker", "gid").agg(F.max("score").alias("score")).join(vectors.select("gid", "low", "ids"), "gid")
-    best = best.withColumn("place", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "low"))).filter(F.col("place") <= k + 1)
+    near = met.select("curve", "block", "query", "place", "gid", "low", "v").groupBy("curve", "block").applyInArrow(compared, "asker long, gid long, score double")
+    best = near.groupBy("asker", "gid").agg(F.max("score").alias("score")).join(vectors.select("gid", "ids"), "gid")
     best = best.select("asker", F.explode("ids").alias("vec_id"), "score").groupBy("asker", "vec_id").agg(F.max("score").alias("score"))
     best = best.withColumn("place", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
-    asking = rows.filter("asks").select(F.col("id").alias("query_id"), "v").distinct().join(vectors.filter("asks").select(F.col("gid").alias("asker"), "v"), "v")
-    found = asking.select("query_id", "asker").join(best, "asker").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = askers.join(best, "asker").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
