@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from vocalake.llm.common import SPACE_CHARS, WORD, materialised, text_of
 
-#: A line on more than this share of a host's pages is boilerplate there, if on MIN_PAGES at least.
-RATIO = 0.1
-MIN_PAGES = 10
+#: A line on more than this share of a host's pages is boilerplate there, if on MIN_PAGES at least: one page in twenty
+#: is more than chance or a few copies bring, and two pages of a small host may be copies of each other.
+RATIO = 0.05
+MIN_PAGES = 3
 #: Boilerplate lines of all hosts up to this number (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
