@@ -227,6 +227,36 @@ def test_shards_sum_to_the_quota():
     assert all(c.sum() == 256 for c, _ in counts[:-1])
 
 
+@pytest.mark.parametrize("scale", [1, 10**6, 10**12])
+def test_draws_without_replacement_at_any_size(scale):
+    counts = np.array([5, 0, 3, 12]) * scale
+    rng = np.random.Generator(np.random.PCG64(1))
+    for n in (0, 1, 7 * scale, 20 * scale - 1, 20 * scale):
+        got = mixing.drawn(counts, n, rng)
+        assert got.sum() == n and (got >= 0).all() and (got <= counts).all()
+    many = np.array([mixing.drawn(counts, 7 * scale, rng) for _ in range(4000)]) / scale
+    assert many.mean(axis=0) == pytest.approx([7 * 5 / 20, 0, 7 * 3 / 20, 7 * 12 / 20], abs=0.06)
+    n, k, all_ = 7 * scale, 5 * scale, 20 * scale
+    want = n * (k / all_) * (1 - k / all_) * (all_ - n) / (all_ - 1) / scale**2
+    assert many[:, 0].var() == pytest.approx(want, rel=0.15)
+
+
+def test_shards_of_very_many_slots():
+    quota = np.array([4 * 10**10, 10**11, 7])
+    total = -(-int(quota.sum()) // 16384)
+    parts = [mixing.shard_counts(quota, k, 16384, 3) for k in (0, 1, total // 2, total - 1)]
+    assert all(c.sum() == 16384 for c, _ in parts[:3]) and (parts[0][0] == parts[1][1]).all()
+    assert (parts[3][0] + parts[3][1] == quota).all()
+
+
+def test_equal_rows_are_taken_each_for_itself(spark):
+    rows = docs(spark, [None] * 50 + ["a b c d e"] * 30 + [f"w{k} x" for k in range(40)], ["s"] * 120).withColumn("doc_id", F.when(F.col("doc_id") < 80, F.lit(None)).otherwise(F.col("doc_id")))
+    found = mixing.taken(rows, block=4, slots=8).collect()
+    assert len(found) == 120 and sum(r.taken for r in found) == round(1.5 * (150 + 80))
+    starts = sorted((r.start, r.size) for r in found if r["size"])
+    assert all(a + n == b for (a, n), (b, _) in itertools.pairwise(starts))
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(3)
     body = [" ".join(f"w{k}_{i}" for i in range(rng.choice([0, 3, 40, 300, 2500]))) for k in range(120)] + [None, "", "a b", "a b"]
@@ -557,6 +587,12 @@ def test_template_language():
             chat.compiled(bad)
     with pytest.raises(chat.TemplateError):
         run("{{ x.real }}", x=1)
+    assert run("{% set loop = 7 %}{% for x in xs %}{{ loop.index }}{% endfor %}{{ loop }}", xs=[1, 2]) == "127"
+    assert run("{{ '}}' }}{% if x == '%}' %}y{% endif %}{{ \"{{\" }}", x="%}") == "}}y{{"
+    assert run("{% if x %}{{ 1 + 'a' }}{% endif %}ok", x=0) == "ok"
+    for bad in ("{{ 1 + 'a' }}", "{{ l[9] }}", "{{ l | length < 'a' }}", "{{ 1 | length }}", "{{ 'a' in 1 }}", "{% for x in 3 %}{% endfor %}", "{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}", "{{ a", "{% set a = 1"):
+        with pytest.raises(chat.TemplateError):
+            run(bad, l=["p"])
 
 
 def test_chat_rows(spark):

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,15 +90,23 @@ def position(block: int, n: int, key: int) -> int:
             return x
 
 
-def _halved(counts: np.ndarray, first: int, rng: np.random.Generator) -> np.ndarray:
-    """Of the counts, `first` drawn without replacement; beyond the sampler's range, the expected share."""
+def drawn(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among n things drawn without replacement, for any counts.
+
+    Each thing is taken with chance n over all, as one binomial draw for each kind; what these are too many or too
+    few is drawn again, from those taken or left, which is about the root of n. A few things are drawn one by one.
+    """
     total = int(counts.sum())
-    if total < 500_000_000:
-        return rng.multivariate_hypergeometric(counts, first, method="marginals")
-    share = counts * (first / total)
-    out = np.floor(share).astype(np.int64)
-    out[np.argsort(out - share, kind="stable")[: first - int(out.sum())]] += 1
-    return out
+    if 2 * n > total:
+        return counts - drawn(counts, total - n, rng)
+    out = np.zeros_like(counts)
+    if n <= 16:
+        for k in range(n):
+            out[np.searchsorted(np.cumsum(counts - out), rng.integers(total - k), side="right")] += 1
+        return out
+    out = rng.binomial(counts, n / total)
+    gap = n - int(out.sum())
+    return out + drawn(counts - out, gap, rng) if gap >= 0 else out - drawn(out, -gap, rng)
 
 
 def shard_counts(quota: np.ndarray, shard: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +117,7 @@ def shard_counts(quota: np.ndarray, shard: int, slots: int, seed: int) -> tuple[
     while high - low > 1:
         middle = (low + high) // 2
         rng = np.random.Generator(np.random.PCG64([seed, low, high]))
-        first = _halved(counts, (middle - low) * slots, rng)
+        first = drawn(counts, (middle - low) * slots, rng)
         if shard < middle:
             counts, high = first, middle
         else:
@@ -181,8 +189,9 @@ def streams(docs: DataFrame, source: str, key: str, text: str, bucket_rows: int
     """(key, hash, source, size, start) per row, start being its place in its source's stream, and (source, size) by code point, null last.
 
     The stream is ordered by a hash bucket, key, text hash and size. Running sums are made within each
-    bucket and over the buckets' sums, so that a source with most rows is no single task. The driver
-    gets one row per source: sources are taken to be a set of names that fits it.
+    bucket and over the buckets' sums, so that a source with most rows is no single task; rows of one key and
+    text are counted before, so that no more are they. The driver gets one row per source: sources are taken to
+    be a set of names that fits it.
     """
     sized = docs.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(f"`{text}`").alias("size"),
@@ -193,24 +202,16 @@ def streams(docs: DataFrame, source: str, key: str, text: str, bucket_rows: int
     rows = sized.count()
     found.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))  # UTF-8 sorts as code points do
     n = max(1, -(-rows // bucket_rows))
-    sized = sized.withColumn("bucket", F.pmod("hash", F.lit(n)))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("own"))
+    sized = sized.groupBy("key", "source", "size", "hash").agg(F.count("*").alias("copies")).withColumn("bucket", F.pmod("hash", F.lit(n)))
+    sums = sized.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("own"))
     sums = sums.withColumn("base", F.sum("own").over(W.partitionBy("source").orderBy("bucket")) - F.col("own")).drop("own")
     inner = W.partitionBy("bucket", "source").orderBy("key", "hash", "size")
-    placed = sized.repartition("bucket").withColumn("within", F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    whole = F.col("size") * F.col("copies")
+    placed = sized.repartition("bucket").withColumn("within", F.sum(whole).over(inner.rowsBetween(W.unboundedPreceding, 0)) - whole)
     sums = sums.withColumnsRenamed({"source": "of", "bucket": "at"})
     placed = placed.join(sums, (placed["bucket"] == sums["at"]) & placed["source"].eqNullSafe(sums["of"]))
-    return placed.select("key", "hash", "source", "size", (F.col("base") + F.col("within")).alias("start")), found
-
-
-def _numbered(names: list[str | None], column: Column) -> Column:
-    """The place of a source in the list."""
-    known = {n: k for k, n in enumerate(names) if n is not None}
-    null = F.lit(names.index(None) if None in names else -1)
-    if not known:
-        return null
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.when(column.isNull(), null).otherwise(F.element_at(table, column))
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return placed.select("key", "hash", "source", "size", (F.col("base") + F.col("within") + F.col("copy") * F.col("size")).alias("start")), found
 
 
 def mix(
@@ -230,9 +231,10 @@ def mix(
     wanted = targets(sizes, shares, share * sum(sizes), cap)
     plan = [planned(k, s, t, block, seed) for k, (s, t) in enumerate(zip(sizes, wanted, strict=True))]
     spark = docs.sparkSession
-    table = spark.createDataFrame([(p.number, s, float(t)) for p, s, t in zip(plan, sizes, wanted, strict=True)], "number int, source_size long, target double")
-    placed = placed.withColumn("number", _numbered(names, F.col("source")).cast("int"))
-    placed = materialised(placed.join(F.broadcast(table), "number"), "placed")
+    kind = docs.schema[source].dataType.simpleString()
+    rows = [(name, p.number, s, float(t)) for name, p, s, t in zip(names, plan, sizes, wanted, strict=True)]
+    table = spark.createDataFrame(rows, f"named {kind}, number int, source_size long, target double")
+    placed = materialised(placed.join(table, placed["source"].eqNullSafe(table["named"])).drop("named"), "placed")
     total = sum(p.slots for p in plan)
     shards = spark.range(-(-total // slots)).withColumnRenamed("id", "shard")
     drawn = draw_slots(shards, plan, block, slots, seed).withColumnsRenamed({"source": "number"})
