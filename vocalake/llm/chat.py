@@ -13,6 +13,7 @@ Expressions have literals, names, fields of mappings, indices, + ~ == != < > <=
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import operator
 import re
@@ -146,7 +147,9 @@ _FILTERS: dict[str, Callable[[Any], Any]] = {
 
 # ---------------------------------------------------------------- parser
 
-_PARTS = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
+_QUOTED = r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^'\"])*?"
+#: An expression, a tag, or the begin of one that doesn't end; what is quoted may hold any signs.
+_PARTS = re.compile(rf"\{{\{{({_QUOTED})\}}\}}|\{{%({_QUOTED})%\}}|(\{{[{{%])", re.S)
 _TOKEN = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>.|()\[\]]))")
 _CODES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -259,6 +262,8 @@ class _Parser:
         self.parts: list[tuple[str, str]] = []
         at = 0
         for m in _PARTS.finditer(source):
+            if m.group(3):
+                raise TemplateError(f"{source[m.start():m.start() + 20]!r} does not end")
             self.parts += [("text", source[at : m.start()])] * (m.start() > at)
             self.parts.append(("put", m.group(1)) if m.group(1) is not None else ("tag", m.group(2).strip()))
             at = m.end()
@@ -306,8 +311,20 @@ class _Parser:
         return tuple(nodes), ""
 
 
+@contextlib.contextmanager
+def _errors() -> Iterator[None]:
+    """Whatever goes wrong in a template is a TemplateError."""
+    try:
+        yield
+    except TemplateError:
+        raise
+    except (TypeError, ValueError, LookupError, ArithmeticError, RecursionError) as error:
+        raise TemplateError(f"{type(error).__name__}: {error}") from None
+
+
 def parse(source: str) -> tuple:
-    return _Parser(source).block()[0]
+    with _errors():
+        return _Parser(source).block()[0]
 
 
 # ---------------------------------------------------------------- folding
@@ -351,7 +368,8 @@ def _fold(nodes: tuple, known: dict[str, Any], once: set[str]) -> tuple:
                     of = Const(out.pop().of.value + of.value)
             out.append(Put(of))
         elif isinstance(node, For):
-            out.append(For(node.name, _folded(node.of, known), _fold(node.body, dict(known), set())))
+            inside = {k: v for k, v in known.items() if k not in (node.name, "loop")}  # the loop has these names itself
+            out.append(For(node.name, _folded(node.of, known), _fold(node.body, inside, set())))
         elif isinstance(node, Generation):
             out.append(Generation(_fold(node.body, dict(known), set())))
         else:
@@ -377,7 +395,7 @@ def _folded(tree: Any, known: dict[str, Any]) -> Any:
         return Item(_folded(tree.of, known), _folded(tree.key, known))
     if isinstance(tree, Filter):
         of = _folded(tree.of, known)
-        return Const(_FILTERS[tree.name](of.value)) if isinstance(of, Const) else Filter(tree.name, of)
+        return _made(_FILTERS[tree.name], of) or Filter(tree.name, of)
     if isinstance(tree, Not):
         of = _folded(tree.of, known)
         return Const(not of.value) if isinstance(of, Const) else Not(of)
@@ -390,12 +408,18 @@ def _folded(tree: Any, known: dict[str, Any]) -> Any:
         left, right = _folded(tree.left, known), _folded(tree.right, known)
         if tree.op in ("and", "or") and isinstance(left, Const):
             return right if bool(left.value) == (tree.op == "and") else left
-        if isinstance(left, Const) and isinstance(right, Const):
-            return Const(_OPS[tree.op](left.value, right.value))
-        return Binary(tree.op, left, right)
+        return _made(_OPS.get(tree.op), left, right) or Binary(tree.op, left, right)
     return tree
 
 
+def _made(use: Callable | None, *trees: Any) -> Const | None:
+    """What a function makes of constants; nothing where it fails, so that this is an error only if it is reached."""
+    if use and all(isinstance(t, Const) for t in trees):
+        with contextlib.suppress(Exception):
+            return Const(use(*(t.value for t in trees)))
+    return None
+
+
 # ---------------------------------------------------------------- closures
 
 
@@ -509,12 +533,14 @@ Rendered = tuple[str, list[tuple[int, int]]]
 
 
 def compiled(source: str) -> Callable[..., Rendered]:
-    """A function of the template's variables to (text, spans under the loss mask)."""
-    write = _writer(fold(parse(source)))
+    """A function of the template's variables to (text, spans under the loss mask); both raise nothing but TemplateError."""
+    with _errors():
+        write = _writer(fold(parse(source)))
 
     def render(**variables: Any) -> Rendered:
         out = _Output()
-        write(dict(variables), out)
+        with _errors():
+            write(dict(variables), out)
         return "".join(out.parts), out.spans
 
     return render
@@ -542,8 +568,8 @@ def formatted(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
 
     rows: (conv_id, turn, role, text). Turns are in the order of turn, nulls first, ties by role and
     text; repeated rows are turns of their own. Null roles and texts are empty. Rows without conv_id
-    are one conversation. A conversation is one text and so meets in one row. An empty table gives an
-    empty table; columns beyond these are not looked at.
+    are one conversation. A conversation is one text and so meets in one row, however long. An empty table
+    gives an empty table; columns beyond these are not looked at, whatever their names.
     """
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
     kind = rows.schema["conv_id"].dataType.simpleString()
