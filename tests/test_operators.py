@@ -353,3 +353,127 @@ def test_normal_form_of_devanagari(spark):
         return out.removesuffix("ə")
 
     assert got == [spoken(w) for w in words] and got[0] == got[1] == "dʒəɾaː"
+
+
+# ---------------------------------------------------------------- reports, sets and features
+
+
+def test_saved_model(spark, tmp_path):
+    grams = lm.counts(spark.createDataFrame([("a b a",), ("b",), ("",)], "line string"))
+    lm.save(grams, str(tmp_path / "m"))
+    assert sorted(map(tuple, lm.load(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, grams.collect()))
+    of_counts = {(r.n, r.cnt): r.n_grams for r in lm.counts_of_counts(spark.createDataFrame([("a b a",), ("b",), ("",)], "line string")).collect()}
+    want = grams.groupBy("n", "cnt").count().collect()
+    assert of_counts == {(r.n, r.cnt): r["count"] for r in want}
+
+
+def test_equal_error_rate_against_all_thresholds(spark):
+    rng = random.Random(3)
+    for case in range(8):
+        values = [0.5] if case == 0 else [round(rng.random(), 1 if case % 2 else 3) for _ in range(12)]
+        rows = [(k, rng.choice(values), rng.randint(0, 1)) for k in range(40)] + [(100, 0.1, 1), (101, 0.9, 0)]
+        order = sorted(rows, key=lambda r: (-r[1], r[0]))
+        whole, none = sum(r[2] for r in rows), sum(1 - r[2] for r in rows)
+        best, tp, fp = None, 0, 0
+        for k, s, y in order:
+            tp, fp = tp + y, fp + 1 - y
+            now = (abs((whole - tp) * none - fp * whole), -s, k, (1 - tp / whole + fp / none) / 2)
+            best = min(best, now) if best else now
+        got = ev.equal_error_rate(spark.createDataFrame(rows, "k int, s double, y int"), "s", "y", "k").first()
+        assert (got.eer, got.threshold) == (pytest.approx(best[3]), -best[1])
+    assert math.isnan(ev.equal_error_rate(spark.createDataFrame([(1, 0.5, 1)], "k int, s double, y int"), "s", "y", "k").first().eer)
+
+
+def test_span_errors(spark):
+    words = lambda text, late=0.0: spark.createDataFrame([(1, k, w, k * 1.0 + late, k + 0.9 + late) for k, w in enumerate(text.split())], "c int, w_id int, w string, w_start double, w_end double")
+    spans = spark.createDataFrame([(1, 0, 0.0, 2.0, "eng"), (1, 1, 2.0, 4.0, "hin"), (1, 2, 9.0, 9.5, "eng")], "c int, s_id int, s_start double, s_end double, label string")
+    got = {r.label: r for r in ev.span_errors(words("a b c d"), words("a x c", 0.0), spans, "c").collect()}
+    assert (got["eng"].errors, got["eng"].words, got["eng"].n_spans) == (1, 2, 1) and got["eng"].wer == 0.5
+    assert (got["hin"].errors, got["hin"].words) == (1, 2)
+
+
+def test_reports(spark):
+    report = lambda **v: spark.createDataFrame(list(v.items()), "name string, value double")
+    both = {r.name: (r.before, r.after, r.delta) for r in ev.deltas(report(a=1.0, b=2.0), report(b=2.5, c=1.0)).collect()}
+    assert both == {"a": (1.0, None, None), "b": (2.0, 2.5, 0.5), "c": (None, 1.0, None)}
+    limits = spark.createDataFrame([("a", 2.0), ("d", 1.0)], "name string, limit double")
+    assert {r.name: r.passed for r in ev.summary(report(a=1.0, b=2.0), limits).collect()} == {"a": True, "b": None, "d": False}
+
+
+def test_balanced_is_the_first_in_hash_order(spark):
+    rows = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(500)], "k int, y int")
+    for digits in (1, 4):
+        got = sorted(r.k for r in sampling.balanced(rows, "y", "k", 2, digits).collect())
+        key = lambda k: __import__("hashlib").md5(f"2:{k}".encode()).hexdigest()
+        want = [k for y in (0, 1) for k in sorted((k for k in range(500) if int(k % 5 == 0) == y), key=lambda k: (key(k), k))[:100]]
+        assert got == sorted(want)
+
+
+def test_interleaved_sets(spark):
+    chunks = [(1, "a", k, 3, "eng") for k in range(4)] + [(1, "b", k, 5, "hin") for k in range(4)] + [(2, "b", 0, 2, "hin")]
+    rows = spark.createDataFrame(chunks, "set long, kind string, ord long, n_frames long, label string")
+    got = sampling.interleaved(rows, 5, 0.2, 2)
+    labels = {s: [r.label for r in got.filter(f"set = {s}").orderBy("frame").collect()] for s in (1, 2)}
+    assert labels[2] == ["hin", "hin", "sil", "sil"]
+    counts = {x: labels[1].count(x) for x in set(labels[1])}
+    assert counts == {"eng": 12, "hin": 20, "sil": 16} and labels[1][0] == "eng"
+    assert labels[1] == [r.label for r in sampling.interleaved(rows.repartition(3), 5, 0.2, 2).filter("set = 1").orderBy("frame").collect()]
+
+
+def test_edges_of_deltas(spark):
+    frames = spark.createDataFrame([(1, k, "x", 3.0 * k + 0.5 * k * k) for k in range(20)] + [(2, k, "x", 1.0) for k in range(8)], "clip_id long, frame long, label string, value double")
+    got = fr.padded_deltas(frames).orderBy("frame").collect()
+    assert len(got) == 20 and all(r.delta2 == pytest.approx(1.0) for r in got)
+    assert [r.delta for r in got] == pytest.approx([3.0 + min(max(k, 4), 15) for k in range(20)])
+    both = kernels.with_slopes(np.array([[3.0 * k + 0.5 * k * k] for k in range(20)]))
+    slopes = np.array([r.delta for r in got])
+    assert both[:, 1] == pytest.approx((slopes - slopes.mean()) / (slopes.std() + 1e-6))
+
+
+def test_rescaled_path(spark):
+    path = spark.createDataFrame([(1, k, k, k) for k in range(5)], "clip_id long, step long, i long, j long")
+    got = fr.rescaled_path(path, spark.createDataFrame([(1, 25, 5)], "clip_id long, n long, m long"), 10).orderBy("step").collect()
+    assert [(r.i, r.j) for r in got] == [(round(k * 2.5), round(k * 0.5)) for k in range(5)]
+
+
+def test_features(spark):
+    rate = 16000
+    tone = np.sin(2 * np.pi * 1000 * np.arange(rate) / rate)
+    levels = kernels.log_mel(tone, rate)
+    assert levels.shape == (101, 80) and levels.max() == 0.0 and levels.min() >= -80
+    centre = np.argmax(kernels.mel_triangles(80, 512, rate)[int(np.argmax(levels[50]))]) * rate / 512
+    assert abs(centre - 1000) < 50
+    clips = spark.createDataFrame([("a", rate, tone.tolist()), ("b", rate, [0.0] * 100)], "path string, rate int, samples array<double>")
+    for kind, n in (("mel", 119), ("linear", 60)):
+        got = signal.features(clips, kind).groupBy("path").agg(F.countDistinct("dim").alias("d"), F.countDistinct("frame").alias("f")).collect()
+        assert [(r.path, r.d, r.f) for r in got] == [("a", n, 101)]
+
+
+def test_warp_of_long_series():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=60), rng.normal(size=45)
+    cost = np.abs(x[:, None] - y)
+    total = np.full((61, 46), np.inf)
+    total[0, 0] = 0
+    for i in range(1, 61):
+        for j in range(1, 46):
+            total[i, j] = cost[i - 1, j - 1] + min(total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])
+    path = kernels.warp_path(x, y)
+    assert sum(cost[i, j] for i, j in path) == pytest.approx(total[60, 45]) and path[0] == (0, 0) and path[-1] == (59, 44)
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    tr.write_lines(spark.createDataFrame([("a",), ("  ",), ("b c",)], "t string"), "t", str(tmp_path / "l"))
+    assert sorted(r.value for r in tr.read_lines(spark, str(tmp_path / "l")).collect()) == ["a", "b c"]
+    tr.write_json(spark.createDataFrame([("en", [(0.0, 1.0, "hi")])], "language string, segments array<struct<start: double, end: double, text: string>>"), str(tmp_path / "j"))
+    back = tr.read_transcripts(spark, str(tmp_path / "j")).first()
+    assert back.language == "en" and back.segments[0].text == "hi" and back.segments[0].avg_logprob is None
+    (tmp_path / "d.json").write_text('{"language": "mai", "entries": {"Word": "G", "two words": "H"}}')
+    assert sorted(map(tuple, tr.read_dictionary(spark, str(tmp_path / "d.json")).collect())) == [("two words", "H"), ("word", "G")]
+    terms = spark.createDataFrame([("aa",), ("bbb",), ("ab",), ("c",)], "t string")
+    assert [r.t for r in sampling.longest_first(terms, "t", 3).collect()] == ["bbb", "aa", "ab"]
+
+
+def test_best_candidates(spark):
+    rows = spark.createDataFrame([(1, 0, -1.0, -1.0), (1, 1, -0.5, -1.5), (1, 2, -9.0, 0.0), (2, 0, 0.0, 0.0)], "seg int, ord int, a double, l double")
+    assert [(r.seg, r.ord) for r in models.rescored_candidates(rows, "seg", "a", "l").orderBy("seg").collect()] == [(1, 0), (2, 0)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,6 +172,35 @@ def deltas(frames: DataFrame, width: int = 4) -> DataFrame:
     return frames.select("clip_id", "frame", (total / norm).alias("delta")).filter("delta IS NOT NULL")
 
 
+def padded_deltas(frames: DataFrame, width: int = 4) -> DataFrame:
+    """(clip_id, frame, delta, delta2): slope and bend of the line and parabola through 2 * width + 1 frames.
+
+    Near a clip's ends, where frames are missing, the line and parabola are those of its first or last 2 * width + 1
+    frames (an interpolating edge); shorter clips give no rows. Weights are a short table.
+    """
+    size = 2 * width + 1
+    x = np.arange(size) - width
+    slope = np.linalg.lstsq(np.vander(x, 2, increasing=True), np.eye(size), rcond=None)[0][1]
+    bend = 2 * np.linalg.lstsq(np.vander(x, 3, increasing=True), np.eye(size), rcond=None)[0][2]
+    weights = [(k, float(slope[k]), float(bend[k])) for k in range(size)]
+    table = frames.sparkSession.createDataFrame(weights, "k int, slope double, bend double")
+    length = frames.groupBy("clip_id").agg((F.max("frame") + 1).alias("n")).filter(F.col("n") >= size)
+    low = F.least(F.greatest(F.col("frame") - width, F.lit(0)), F.col("n") - size)
+    asked = frames.join(length, "clip_id").select("clip_id", "frame", F.posexplode(F.sequence(low, low + (size - 1))).alias("k", "of"))
+    met = asked.join(frames.select("clip_id", F.col("frame").alias("of"), "value"), ["clip_id", "of"]).join(F.broadcast(table), "k")
+    return met.groupBy("clip_id", "frame").agg(F.sum(F.col("value") * F.col("slope")).alias("delta"), F.sum(F.col("value") * F.col("bend")).alias("delta2"))
+
+
+def rescaled_path(path: DataFrame, lengths: DataFrame, most: int = 5000) -> DataFrame:
+    """(clip_id, step, i, j): the steps of a path over series shortened to `most` points, back on the whole series.
+
+    lengths: (clip_id, n, m). Both indices are scaled if either series is longer, and rounded half to even.
+    """
+    long = F.greatest("n", "m") > most
+    back = lambda at, size: F.when(long, F.bround(F.col(at) * (F.col(size) / F.lit(float(most))))).otherwise(F.col(at)).cast("long")
+    return path.join(lengths, "clip_id").select("clip_id", "step", back("i", "n").alias("i"), back("j", "m").alias("j"))
+
+
 def resampled(frames: DataFrame, most: int = 50) -> DataFrame:
     """(clip_id, k, value): clips longer than `most` frames on `most` evenly spaced points, by linear interpolation; others as they are."""
     length = frames.groupBy("clip_id").agg((F.max("frame") + 1).alias("n"))

@@ -30,20 +30,30 @@ def edit_distance(a: list, b: list) -> int:
 
 
 def warp_path(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """The cheapest monotone path of |x_i - y_j| from (0, 0) to the ends; of equal steps the diagonal, then x, then y."""
+    """The cheapest monotone path of |x_i - y_j| from (0, 0) to the ends; of equal steps the diagonal, then x, then y.
+
+    Costs are kept of two anti-diagonals only and the steps as a byte per cell, so that series of 50,000 frames
+    take 2.5 GB; longer ones are shortened before (see frames.rescaled_path).
+    """
     n, m = len(x), len(y)
-    cost = np.abs(np.asarray(x, dtype=np.float64)[:, None] - np.asarray(y, dtype=np.float64)[None, :])
-    total = np.full((n + 1, m + 1), np.inf)
-    total[0, 0] = 0.0
-    for d in range(2, n + m + 1):  # cells of an anti-diagonal depend on the two before only
+    x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
+    step = np.zeros((n + 1, m + 1), dtype=np.uint8)
+    # by i: the costs of the cells (i, d - i) of the last two anti-diagonals
+    last, before = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    before[0] = 0.0
+    for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        total[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(total[i - 1, j - 1], total[i - 1, j]), total[i, j - 1])
+        ways = np.stack([before[i - 1], last[i - 1], last[i]])
+        step[i, j] = best = np.argmin(ways, axis=0)
+        now = np.full(n + 1, np.inf)
+        now[i] = np.abs(x[i - 1] - y[j - 1]) + ways[best, np.arange(len(i))]
+        last, before = now, last
     i, j, path = n, m, []
     while i and j:
         path.append((i - 1, j - 1))
-        step = int(np.argmin([total[i - 1, j - 1], total[i - 1, j], total[i, j - 1]]))
-        i, j = (i - 1, j - 1) if step == 0 else (i - 1, j) if step == 1 else (i, j - 1)
+        way = step[i, j]
+        i, j = (i - 1, j - 1) if way == 0 else (i - 1, j) if way == 1 else (i, j - 1)
     return path[::-1]
 
 
@@ -103,3 +113,55 @@ def linear_cepstra(samples: np.ndarray, rate: int = 16000, size: int = 512, hop:
     """Cepstra (frames, keep) of the log energies in linear filters."""
     energy = power_frames(samples, size, hop) @ triangles(filters, size, rate).T
     return cosine_transform(np.log(np.maximum(energy, 1e-10)), keep)
+
+
+def _mel(hertz: np.ndarray | float) -> np.ndarray:
+    """The mel scale that is linear to 1000 Hz and logarithmic above."""
+    hertz = np.asarray(hertz, dtype=np.float64)
+    return np.where(hertz < 1000, hertz * 3 / 200, 15 + np.log(np.maximum(hertz, 1000) / 1000) * 27 / np.log(6.4))
+
+
+def _hertz(mel: np.ndarray) -> np.ndarray:
+    return np.where(mel < 15, mel * 200 / 3, 1000 * np.exp((mel - 15) * np.log(6.4) / 27))
+
+
+def mel_triangles(filters: int = 80, size: int = 512, rate: int = 16000) -> np.ndarray:
+    """Triangular filters (filters, size // 2 + 1) of equal area whose corners are evenly spaced in mel."""
+    corners = _hertz(np.linspace(_mel(0.0), _mel(rate / 2), filters + 2))
+    at = np.arange(size // 2 + 1) * rate / size
+    rise = (at - corners[:-2, None]) / (corners[1:-1] - corners[:-2])[:, None]
+    fall = (corners[2:, None] - at) / (corners[2:] - corners[1:-1])[:, None]
+    return np.maximum(0.0, np.minimum(rise, fall)) * (2 / (corners[2:] - corners[:-2]))[:, None]
+
+
+def log_mel(samples: np.ndarray, rate: int = 16000, size: int = 512, hop: int = 160, filters: int = 80) -> np.ndarray:
+    """Decibels (frames, filters) of the mel spectrum below its largest value, at most 80 below."""
+    power = np.maximum(power_frames(samples, size, hop) @ mel_triangles(filters, size, rate).T, 1e-10)
+    level = 10 * np.log10(power)
+    return np.maximum(level - level.max(initial=-np.inf), -80.0)
+
+
+def with_slopes(rows: np.ndarray, width: int = 4) -> np.ndarray:
+    """Rows (frames, n) with their slopes and bends beside them, each column at mean 0 and deviation 1."""
+    size = 2 * width + 1
+    if len(rows) < size:
+        raise ValueError(f"{size} frames are needed")
+    x = np.arange(size) - width
+    line = np.linalg.lstsq(np.vander(x, 2, increasing=True), np.eye(size), rcond=None)[0][1]
+    bend = 2 * np.linalg.lstsq(np.vander(x, 3, increasing=True), np.eye(size), rcond=None)[0][2]
+    base = np.clip(np.arange(len(rows)) - width, 0, len(rows) - size)
+    cut = rows[base[:, None] + np.arange(size)]
+    both = np.concatenate([rows, np.einsum("fkn,k->fn", cut, line), np.einsum("fkn,k->fn", cut, bend)], axis=1)
+    return (both - both.mean(axis=0)) / (both.std(axis=0) + 1e-6)
+
+
+def mel_features(samples: np.ndarray, rate: int = 16000) -> np.ndarray:
+    """(frames, 119): 80 mel levels, 13 cepstra of them, and these cepstra's slopes and bends, normalised."""
+    levels = log_mel(samples, rate)
+    cepstra = with_slopes(cosine_transform(levels, 13))
+    return np.concatenate([(levels - levels.mean(axis=0)) / (levels.std(axis=0) + 1e-6), cepstra], axis=1)
+
+
+def linear_features(samples: np.ndarray, rate: int = 16000) -> np.ndarray:
+    """(frames, 60): 20 linear cepstra with their slopes and bends, normalised."""
+    return with_slopes(linear_cepstra(samples, rate))

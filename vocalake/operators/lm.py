@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalake.functions.text import tokenize
@@ -35,6 +35,33 @@ def counts(corpus: DataFrame, order: int = 3, line: str = "line") -> DataFrame:
     return marked.select(F.explode(ngrams(F.col("t"), order)).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("cnt"))
 
 
+def counts_of_counts(corpus: DataFrame, order: int = 3, line: str = "line") -> DataFrame:
+    """(n, cnt, n_grams): how many different runs of n tokens occur cnt times.
+
+    Runs are told apart by a 64-bit hash of their tokens, so that no run is spelled out or shuffled as text.
+    """
+    marked = corpus.select(F.concat(F.array(F.lit(BEGIN)), tokenize(F.col(line)), F.array(F.lit(FINISH))).alias("t"))
+    hashed = marked.select(F.transform("t", lambda w: F.xxhash64(w)).alias("h"))
+    rows = hashed.select(F.posexplode("h").alias("i", "h0"), "h")
+    parts = [F.struct(F.lit(1).alias("n"), F.col("h0").alias("gram"))]
+    gram = F.col("h0")
+    for n in range(2, order + 1):
+        gram = F.xxhash64(gram, F.get("h", F.col("i") + (n - 1)))
+        parts.append(F.when(F.size("h") >= F.col("i") + n, F.struct(F.lit(n).alias("n"), gram.alias("gram"))))
+    grams = rows.select(F.explode(F.filter(F.array(*parts), lambda g: g.isNotNull())).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("cnt"))
+    return grams.groupBy("n", "cnt").agg(F.count("*").alias("n_grams"))
+
+
+def save(grams: DataFrame, path: str) -> None:
+    """A model's counts as Parquet, by order."""
+    grams.select("n", "gram", "cnt").write.mode("overwrite").partitionBy("n").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """(n, gram, cnt) of a saved model."""
+    return spark.read.schema("gram string, cnt long, n int").parquet(path).select("n", "gram", "cnt")
+
+
 def left_contexts(grams: DataFrame, standard: bool = False) -> DataFrame:
     """(word, n_left): distinct first words of the runs that end in word; of pairs only, if standard."""
     runs = grams.filter("n = 2" if standard else "n >= 2")

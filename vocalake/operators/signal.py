@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vocalake.functions.vectors import normalised
-from vocalake.operators.kernels import cepstral_distance, triangles
+from vocalake.operators.kernels import cepstral_distance, linear_features, mel_features, triangles
 
 
 def peak_normalised(frames: DataFrame, level: float = -3.0) -> DataFrame:
@@ -138,6 +138,26 @@ def cepstral_distances(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.mapInPandas(work, f"{key} {pairs.schema[key].dataType.simpleString()}, mcd double")
 
 
+def features(clips: DataFrame, kind: str = "mel", key: str = "path") -> DataFrame:
+    """(key, frame, dim, x): features of each clip (key, rate, samples array<float>): `mel` (119) or `linear` (60). Clips of under 9 frames have none."""
+    make = {"mel": mel_features, "linear": linear_features}[kind]
+
+    def work(batches):
+        for pdf in batches:
+            for name, rate, samples in zip(pdf[key], pdf["rate"], pdf["samples"], strict=True):
+                if len(samples) >= 8 * 160:
+                    found = make(np.asarray(samples, dtype=np.float64), int(rate))
+                    frame, dim = (k.ravel() for k in np.indices(found.shape))
+                    yield pd.DataFrame({key: [name] * found.size, "frame": frame, "dim": dim, "x": found.ravel()})
+
+    return clips.select(key, "rate", "samples").mapInPandas(work, f"{key} {clips.schema[key].dataType.simpleString()}, frame int, dim int, x double")
+
+
+def mean_power(value: Column) -> Column:
+    """The root of the mean square, as an aggregate."""
+    return F.sqrt(F.avg(value * value) + 1e-12)
+
+
 def leading(frames: DataFrame, n: int) -> DataFrame:
     """The first n frames of each clip."""
     return frames.filter(F.col("frame") < n)

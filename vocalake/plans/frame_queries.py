@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalake.operators import frames as fr
-from vocalake.operators import joins, signal
+from vocalake.operators import evaluation as ev
+from vocalake.operators import joins, sampling, signal
 from vocalake.sources.tables import table
 
 #: The event types, as the classes of the label series.
@@ -76,6 +77,49 @@ def deltas(spark, sf_dir):
     return fr.deltas(series(spark, sf_dir)).withColumn("delta", F.round("delta", 6))
 
 
+def padded_deltas(spark, sf_dir):
+    out = fr.padded_deltas(series(spark, sf_dir))
+    return out.select("clip_id", "frame", (F.round("delta", 6) + 0.0).alias("delta"), (F.round("delta2", 6) + 0.0).alias("delta2"))
+
+
+def rescaled_path(spark, sf_dir):
+    """Each user's path i -> i // 2 over series shortened to 20 points, back on series of n and of n // 2 + 1 frames."""
+    own = series(spark, sf_dir).groupBy("clip_id").agg((F.max("frame") + 1).alias("n"))
+    path = own.select("clip_id", F.explode(F.expr("sequence(0L, 19L)")).alias("step")).select("clip_id", "step", F.col("step").alias("i"), F.expr("step div 2").alias("j"))
+    return fr.rescaled_path(path, own.select("clip_id", "n", F.expr("n div 2 + 1").alias("m")), 20)
+
+
+def frame_index(spark, sf_dir):
+    return series(spark, sf_dir).select("clip_id", "frame", fr.frame_of(F.col("value")).alias("at"))
+
+
+def cross_fade(spark, sf_dir):
+    """Each user's series behind that of the user before, with five frames of both."""
+    own = series(spark, sf_dir).select("clip_id", "frame", "value")
+    after = own.withColumn("clip_id", F.col("clip_id") - 1)
+    return signal.joined_chunks(own, after, 5).withColumn("value", F.round("value", 6))
+
+
+def mean_power(spark, sf_dir):
+    return series(spark, sf_dir).groupBy("clip_id").agg(F.round(signal.mean_power(F.col("value")), 6).alias("rms"))
+
+
+def head_slice(spark, sf_dir):
+    """The first 20 frames of each clip, less their mean: the slice is the operator."""
+    return signal.centred(signal.leading(series(spark, sf_dir), 20)).withColumn("value", F.round("value", 6))
+
+
+def counts_report(spark, sf_dir):
+    return ev.counts_report(series(spark, sf_dir), "label", CLASSES)
+
+
+def synthetic_set(spark, sf_dir):
+    """Runs of views and of anything else of each user, interleaved anew with gaps as a labelled set."""
+    runs = fr.runs(series(spark, sf_dir).withColumn("label", F.when(F.col("label") == "view", "view").otherwise("other")))
+    chunks = runs.select(F.col("clip_id").alias("set"), F.col("label").alias("kind"), F.col("seg_id").alias("ord"), F.round((F.col("end") - F.col("start")) * 100).cast("long").alias("n_frames"), "label")
+    return sampling.interleaved(chunks, 3, 0.2, 2)
+
+
 def resampled(spark, sf_dir):
     return fr.resampled(series(spark, sf_dir), 25).withColumn("value", F.round("value", 6))
 
@@ -143,6 +187,11 @@ win AS (SELECT clip_id, k * {hop} AS first, least(k * {hop} + {size}, n) AS unti
         FROM wr WHERE rk = 1 AND frames >= {least} AND sqrt(total / frames + 1e-12) >= 1.0 AND own / frames >= 0.3)"""
 
 
+def _padded_weights() -> str:
+    """(neighbour, slope, bend) of the line and parabola through nine frames, by their normal equations."""
+    return ", ".join(f"({x + 4}, {x} / 60.0::DOUBLE, 2 * ({x * x} - 60 / 9.0::DOUBLE) / 308.0::DOUBLE)" for x in range(-4, 5))
+
+
 QUERIES = {
     "frame_rle_segments": rle,
     "frame_transitions": transitions,
@@ -159,6 +208,14 @@ QUERIES = {
     "frame_paint": painted,
     "frame_deltas": deltas,
     "frame_resample": resampled,
+    "frame_padded_deltas": padded_deltas,
+    "frame_rescaled_path": rescaled_path,
+    "frame_index": frame_index,
+    "frame_counts_report": counts_report,
+    "sample_synthetic_set": synthetic_set,
+    "sig_cross_fade": cross_fade,
+    "sig_mean_power": mean_power,
+    "sig_head_slice": head_slice,
     "eval_boundary_hits": boundary_hits,
     "eval_overlap_join": overlap_join,
     "sig_peak_norm": peak_norm,
@@ -213,6 +270,23 @@ x AS (SELECT *, CASE WHEN n > 25 THEN k * (n - 1) / 24.0::DOUBLE ELSE k::DOUBLE
 l AS (SELECT *, floor(x)::BIGINT AS lo, least(floor(x)::BIGINT + 1, n - 1) AS hi FROM x)
 SELECT l.clip_id, k, round(a.value + (b.value - a.value) * (x - lo), 6) AS value
 FROM l JOIN f a ON a.clip_id = l.clip_id AND a.frame = lo JOIN f b ON b.clip_id = l.clip_id AND b.frame = hi""",
+    "frame_padded_deltas": f"""WITH {F_SQL}, {_N}, w(k, slope, bend) AS (VALUES {_padded_weights()}),
+a AS (SELECT *, least(greatest(frame - 4, 0), n - 9) AS low FROM fn WHERE n >= 9),
+m AS (SELECT a.clip_id, a.frame, sum(b.value * slope) AS d, sum(b.value * bend) AS d2
+      FROM a CROSS JOIN w JOIN f b ON b.clip_id = a.clip_id AND b.frame = a.low + w.k GROUP BY ALL)
+SELECT clip_id, frame, round(d, 6) + 0.0::DOUBLE AS delta, round(d2, 6) + 0.0::DOUBLE AS delta2 FROM m""",
+    "frame_rescaled_path": f"""WITH {F_SQL}, {_N}, l AS (SELECT DISTINCT clip_id, n, n // 2 + 1 AS m FROM fn), s AS (SELECT unnest(range(0, 20)) AS step)
+SELECT clip_id, step, CASE WHEN greatest(n, m) > 20 THEN round_even(step * (n / 20.0::DOUBLE), 0)::BIGINT ELSE step END AS i,
+  CASE WHEN greatest(n, m) > 20 THEN round_even((step // 2) * (m / 20.0::DOUBLE), 0)::BIGINT ELSE step // 2 END AS j FROM l, s""",
+    "frame_index": f"WITH {F_SQL} SELECT clip_id, frame, trunc(value / 0.01::DOUBLE)::INT AS at FROM f",
+    "frame_counts_report": f"WITH {F_SQL} SELECT count(*) AS n, {', '.join(f"count(*) FILTER (label = '{c}') AS n_{c}" for c in CLASSES)} FROM f",
+    "sig_cross_fade": f"""WITH {F_SQL}, {_N}, l AS (SELECT DISTINCT clip_id, n FROM fn),
+s AS (SELECT l.clip_id, b.frame + n - 5 AS frame, b.value, n FROM l JOIN f b ON b.clip_id = l.clip_id + 1),
+p AS (SELECT clip_id, frame, value * (1 - least(greatest((frame - n + 5.5) / 5, 0.0), 1.0)) AS part FROM fn
+      UNION ALL SELECT clip_id, frame, value * least(greatest((frame - n + 5.5) / 5, 0.0), 1.0) FROM s)
+SELECT clip_id, frame, round(sum(part), 6) AS value FROM p GROUP BY ALL""",
+    "sig_mean_power": f"WITH {F_SQL} SELECT clip_id, round(sqrt(avg(value * value) + 1e-12), 6) AS rms FROM f GROUP BY clip_id",
+    "sig_head_slice": f"WITH {F_SQL} SELECT clip_id, frame, round(value - avg(value) OVER (PARTITION BY clip_id), 6) AS value FROM f WHERE frame < 20",
     "eval_boundary_hits": f"""WITH {F_SQL}, {_TR},
 g AS (SELECT clip_id, frame AS g FROM tr), p AS (SELECT clip_id, frame + 2 AS p FROM tr WHERE to_label = 'view'),
 h AS (SELECT g.*, EXISTS (SELECT 1 FROM p WHERE p.clip_id = g.clip_id AND abs(p.p - g.g) <= 1) AS hit FROM g)

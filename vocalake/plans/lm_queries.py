@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalake.operators import lm
+from vocalake.session import shared_path
 from vocalake.sources.tables import table
 
 
@@ -16,8 +17,14 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of counts by order over all documents' lines."""
-    grams = lm.counts(lm.lines(table(spark, sf_dir, "documents"), "text"))
-    return grams.groupBy("n", "cnt").agg(F.count("*").alias("n_grams"))
+    return lm.counts_of_counts(lm.lines(table(spark, sf_dir, "documents"), "text"))
+
+
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model written and read again, with the share of each word among the runs of its order."""
+    path = shared_path(spark, "model")
+    lm.save(lm.counts(_corpus(spark, sf_dir)), path)
+    return lm.load(spark, path).groupBy("n").agg(F.count("*").alias("n_grams"), F.sum("cnt").alias("total"), F.max("cnt").alias("most"))
 
 
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +113,7 @@ scored AS (SELECT item_id, pos, w, ln(greatest(p2, 1e-12)) AS logp FROM p2)"""
 QUERIES = {
     "lm_ngram_counts": ngram_counts,
     "lm_ngrams": ngrams,
+    "lm_saved_model": saved_model,
     "lm_vocabulary": vocabulary,
     "lm_left_context": left_context,
     "lm_followers": followers,
@@ -115,6 +123,7 @@ QUERIES = {
 }
 SQL = {
     "lm_ngram_counts": f"WITH {_grams_sql('documents')} SELECT n, cnt, count(*) AS n_grams FROM grams GROUP BY n, cnt",
+    "lm_saved_model": f"WITH {_grams_sql('conversations')} SELECT n, count(*) AS n_grams, sum(cnt)::BIGINT AS total, max(cnt) AS most FROM grams GROUP BY n",
     "lm_ngrams": f"WITH {_grams_sql('conversations')} SELECT n, gram, cnt FROM grams",
     "lm_vocabulary": f"WITH {_grams_sql('documents', '(1)')} SELECT gram AS word, cnt FROM grams",
     "lm_left_context": f"WITH {_grams_sql('conversations')},{_left_sql()} SELECT word, n_left FROM lc",
