@@ -477,3 +477,23 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_best_candidates(spark):
     rows = spark.createDataFrame([(1, 0, -1.0, -1.0), (1, 1, -0.5, -1.5), (1, 2, -9.0, 0.0), (2, 0, 0.0, 0.0)], "seg int, ord int, a double, l double")
     assert [(r.seg, r.ord) for r in models.rescored_candidates(rows, "seg", "a", "l").orderBy("seg").collect()] == [(1, 0), (2, 0)]
+
+
+def test_fallbacks_of_models(spark):
+    def missing():
+        raise ImportError("none")
+
+    rows = spark.createDataFrame([(1, [3.0, 3.0]), (2, [])], "k int, v array<double>")
+    got = models.apply_model(rows, "embed", models.loaded_or(missing, models.pooled_vectors), "v", "e").orderBy("k").collect()
+    assert got[0].e == pytest.approx([1.0, 0.0]) and got[1].e == [0.0, 0.0]
+    assert models.loaded_or(lambda: len, models.pooled_vectors)()("abc") == 3
+
+
+def test_spectral_denoise():
+    rng = np.random.default_rng(5)
+    noise = 0.1 * rng.normal(size=16000)
+    tone = np.where(np.arange(16000) > 4000, np.sin(2 * np.pi * 440 * np.arange(16000) / 16000), 0.0)
+    clean = kernels.spectral_denoise(noise + tone)
+    assert len(clean) == 16000 and np.mean(clean[:3000] ** 2) < 0.1 * np.mean(noise[:3000] ** 2)
+    assert np.mean((clean[5000:15000] - tone[5000:15000]) ** 2) < np.mean(noise[5000:15000] ** 2)
+    assert kernels.spectral_denoise(noise, alpha=0.0, beta=0.0) == pytest.approx(noise, abs=1e-6)

@@ -88,6 +88,24 @@ def power_frames(samples: np.ndarray, size: int = 512, hop: int = 160) -> np.nda
     return np.abs(np.fft.rfft(cut * window, axis=1)) ** 2
 
 
+def spectral_denoise(samples: np.ndarray, size: int = 512, hop: int = 128, noise_frames: int = 10, alpha: float = 2.0, beta: float = 0.02) -> np.ndarray:
+    """Samples whose spectral magnitudes are less alpha times those of the first frames, beta of them at least; phases stay."""
+    n = len(samples)
+    if n < size:
+        return np.asarray(samples, dtype=np.float64)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    padded = np.pad(np.asarray(samples, dtype=np.float64), (size // 2, size))
+    at = np.arange(0, len(padded) - size + 1, hop)[:, None] + np.arange(size)
+    spectra = np.fft.rfft(padded[at] * window, axis=1)
+    level = np.abs(spectra)
+    noise = np.sqrt(np.mean(level[:noise_frames] ** 2, axis=0))
+    clean = np.fft.irfft(np.maximum(level - alpha * noise, beta * level) * np.exp(1j * np.angle(spectra)), size, axis=1) * window
+    out, weight = np.zeros(len(padded)), np.zeros(len(padded))
+    np.add.at(out, at, clean)
+    np.add.at(weight, at, np.broadcast_to(window**2, at.shape))
+    return (out / np.maximum(weight, 1e-8))[size // 2 : size // 2 + n]
+
+
 def triangles(filters: int, size: int, rate: int) -> np.ndarray:
     """Linear triangular filters (filters, size // 2 + 1) between 0 and half the rate."""
     edge = np.floor((size + 1) * np.linspace(0, rate / 2, filters + 2) / rate).astype(int)

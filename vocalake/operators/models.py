@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalake.operators.joins import batches as grouped
 from vocalake.operators.joins import cache_split
+from vocalake.operators.kernels import spectral_denoise
 
 Loader = Callable[[], Callable[[list], list]]
 #: Kinds of slots and the type of their output.
@@ -31,6 +33,32 @@ SLOTS = {
 _LOADED: dict[str, Any] = {}
 
 
+def loaded_or(loader: Loader, fallback: Callable[[list], list]) -> Loader:
+    """A loader that gives the fallback where the model's library or files are missing."""
+
+    def load() -> Callable[[list], list]:
+        try:
+            return loader()
+        except (ImportError, OSError):
+            return fallback
+
+    return load
+
+
+def pooled_vectors(vectors: list) -> list:
+    """Mean and deviation of each vector at length 1: the embedding that needs no model."""
+    out = []
+    for v in vectors:
+        both = np.array([np.mean(v), np.std(v)], dtype=np.float64) if len(v) else np.zeros(2)
+        out.append((both / (np.linalg.norm(both) + 1e-9)).tolist())
+    return out
+
+
+def subtracted(clips: list) -> list:
+    """Clips less the noise of their first frames: the denoiser that needs no model."""
+    return [spectral_denoise(np.asarray(c, dtype=np.float64)).tolist() for c in clips]
+
+
 def apply_model(rows: DataFrame, slot: str, loader: Loader, inputs: str, output: str, batch: int = 8) -> DataFrame:
     """rows with `output`, the model's result for each value of `inputs`, `batch` values at a time."""
     if slot not in SLOTS:
@@ -39,10 +67,11 @@ def apply_model(rows: DataFrame, slot: str, loader: Loader, inputs: str, output:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{output}` {kind}"
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if slot not in _LOADED:
-            _LOADED[slot] = loader()
+        name = f"{slot} {loader.__module__}.{loader.__qualname__}"
+        if name not in _LOADED:
+            _LOADED[name] = loader()
         for pdf in frames:
-            found = [y for part in grouped(iter(pdf[inputs]), batch) for y in _LOADED[slot](part)]
+            found = [y for part in grouped(iter(pdf[inputs]), batch) for y in _LOADED[name](part)]
             yield pdf.assign(**{output: found})
 
     return rows.mapInPandas(work, schema)

@@ -36,19 +36,24 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def read_wav(spark: SparkSession, path: str, seconds: float | None = None) -> DataFrame:
-    """(path, rate, samples array<float>), the first seconds only if asked for."""
+def from_wav(rows: DataFrame, key: str = "path", seconds: float | None = None) -> DataFrame:
+    """(key, rate, samples array<float>) of rows (key, content) that hold WAV files, the first seconds only if asked for."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+            found = []
+            for name, content in zip(pdf[key], pdf["content"], strict=True):
                 rate, samples = decode(content)
-                rows.append((name, rate, samples[: int(seconds * rate)] if seconds else samples))
-            yield pd.DataFrame(rows, columns=["path", "rate", "samples"])
+                found.append((name, rate, samples[: int(seconds * rate)] if seconds else samples))
+            yield pd.DataFrame(found, columns=[key, "rate", "samples"])
+
+    return rows.select(key, "content").mapInPandas(work, f"{key} {rows.schema[key].dataType.simpleString()}, rate int, samples array<float>")
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
-    return files.mapInPandas(work, "path string, rate int, samples array<float>")
+
+def read_wav(spark: SparkSession, path: str, seconds: float | None = None) -> DataFrame:
+    """(path, rate, samples array<float>) of the WAV files below a path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
+    return from_wav(files, seconds=seconds)
 
 
 def as_wav(rows: DataFrame, key: str = "path") -> DataFrame:
