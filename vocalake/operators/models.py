@@ -49,7 +49,8 @@ def pooled_vectors(vectors: list) -> list:
     """Mean and deviation of each vector at length 1: the embedding that needs no model."""
     out = []
     for v in vectors:
-        both = np.array([np.mean(v), np.std(v)], dtype=np.float64) if len(v) else np.zeros(2)
+        v = np.asarray(v, dtype=np.float64)
+        both = np.array([v.mean(), v.std()]) if len(v) else np.zeros(2)
         out.append((both / (np.linalg.norm(both) + 1e-9)).tolist())
     return out
 
