@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vocalake.llm import chat, common, line_dedup, mixing, neighbours, pieces, pii, quality_model, quality_rules, simhash, warc
+from vocalake.llm import chat, common, line_dedup, mixing, neighbours, pieces, pii, quality_model, quality_rules, shingles, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, txt string, words string, bad string, size string, score string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -202,6 +202,31 @@ def test_near_copies_link_from_a_similarity_of_exactly_0_8(spark):
     assert len(near) == 30 + 1 + 1 + 1
 
 
+@pytest.mark.parametrize("within", [True, False])
+def test_pairs_that_meet_in_buckets(within, monkeypatch):
+    monkeypatch.setattr(shingles, "PAIRS", 7)
+    rng = np.random.default_rng(4)
+    band, at = rng.integers(0, 5, 60), np.repeat(np.arange(30), 2)
+    first, root, n = rng.random(30) < 0.5, rng.integers(0, 8, 30), rng.integers(8, 12, 30)
+    met = {(x, y) for b, x in zip(band, at, strict=True) for c, y in zip(band, at, strict=True) if b == c and x < y and (within or first[x] != first[y])}
+    want = sorted((int(x), int(y)) for x, y in met if root[x] != root[y] and min(n[x], n[y]) >= 0.8 * max(n[x], n[y]))
+    got = [(k, int(y)) for k, others in shingles._met_pairs(band, at, first, root, n, within, 0.8) for y in others]
+    assert got == want
+
+
+def test_short_texts_in_many_blocks(spark, monkeypatch):
+    """Of 15 shingles one changes with the first word or the last and two with the last but one: a change of one word at an end
+    leaves 14 of 16, which is a link, any other 13 of 17 or fewer."""
+    monkeypatch.setattr(shingles, "NODES", 5)
+    rng = random.Random(12)
+    texts = [" ".join([rng.choice(["a", "b"]), *(f"w{i}" for i in range(16)), *rng.choices("cdefghijklmnop", k=2)]) for _ in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    got = {r.key: r.component_id for r in shingles.components(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == union(len(texts), near)
+    assert 5 < len(set(union(len(texts), near))) < 55
+
+
 # ---------------------------------------------------------------- mixing
 
 
