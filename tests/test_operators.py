@@ -497,3 +497,55 @@ def test_spectral_denoise():
     assert len(clean) == 16000 and np.mean(clean[:3000] ** 2) < 0.1 * np.mean(noise[:3000] ** 2)
     assert np.mean((clean[5000:15000] - tone[5000:15000]) ** 2) < np.mean(noise[5000:15000] ** 2)
     assert kernels.spectral_denoise(noise, alpha=0.0, beta=0.0) == pytest.approx(noise, abs=1e-6)
+
+
+def _tone(hertz, rate, n):
+    return np.sin(2 * np.pi * hertz * np.arange(n) / rate)
+
+
+@pytest.mark.parametrize(("rate", "to"), [(44100, 16000), (16000, 22050), (8000, 16000), (16000, 16000)])
+def test_resampled_tones(rate, to):
+    got = kernels.resampled(_tone(1000, rate, rate), rate, to)
+    assert len(got) == to and np.abs(got - _tone(1000, to, to))[200:-200].max() < 5e-3
+    if to < rate:  # what the new rate cannot hold goes
+        assert np.abs(kernels.resampled(_tone(12000, rate, rate), rate, to))[200:-200].max() < 5e-3
+    assert len(kernels.resampled(np.zeros(0), rate, to)) == 0
+
+
+@pytest.mark.parametrize("hertz", [80.0, 220.0, 987.8])
+def test_pitch_of_tones(spark, hertz):
+    both = np.r_[_tone(hertz, 22050, 22050), np.zeros(8192)]
+    f0, level = kernels.pitch_track(both)
+    assert len(f0) == len(level) == 1 + len(both) // 256
+    assert np.abs(f0[4:80] - hertz).max() < 0.01 * hertz and (f0[-20:] == 0).all()
+    clips = spark.createDataFrame([("a", 22050, both.tolist()), ("b", 22050, [])], "path string, rate int, samples array<double>")
+    rows = signal.pitches(clips).orderBy("frame").collect()
+    assert [r.path for r in rows] == ["a"] * len(f0) and [r.hertz for r in rows] == f0.tolist()
+
+
+def test_constant_q(spark):
+    for k in (12, 40, 83):
+        found = kernels.constant_q(_tone(32.7032 * 2 ** (k / 12), 16000, 16000))
+        assert found.shape == (63, 84) and found[31].argmax() == k and found[31, k] == pytest.approx(0.5, abs=0.01)
+    with pytest.raises(ValueError):
+        kernels.constant_q(np.zeros(4000), 4000)
+    clips = spark.createDataFrame([("a", 16000, _tone(440, 16000, 16000).tolist()), ("b", 16000, [0.0] * 2000)], "path string, rate int, samples array<double>")
+    got = signal.features(clips, "constant_q").groupBy("path").agg(F.countDistinct("dim").alias("d"), F.countDistinct("frame").alias("f")).collect()
+    assert [(r.path, r.d, r.f) for r in got] == [("a", 60, 63)]
+
+
+def test_waveform_of_a_mel_spectrum(spark):
+    chord = 0.3 * (_tone(440, 16000, 16000) + _tone(1320, 16000, 16000))
+    power = kernels.power_frames(chord) @ kernels.mel_triangles().T
+    made = kernels.waveform(power)
+    again = kernels.power_frames(made) @ kernels.mel_triangles().T
+    assert len(made) == 16000 and np.linalg.norm(np.sqrt(again) - np.sqrt(power)) < 0.25 * np.linalg.norm(np.sqrt(power))
+    assert np.array_equal(made, kernels.waveform(power)) and len(kernels.waveform(np.zeros((0, 80)))) == 0
+    rows = spark.createDataFrame([("a", 16000, power.tolist())], "path string, rate int, power array<array<double>>")
+    assert signal.waveforms(rows).first().samples == pytest.approx(made.astype(np.float32).tolist())
+
+
+def test_wav_at_another_rate(spark):
+    rows = spark.createDataFrame([("a", 44100, _tone(500, 44100, 44100).tolist())], "path string, rate int, samples array<double>")
+    got = audio.from_wav(audio.as_wav(rows), to=16000).first()
+    assert got.rate == 16000 and np.abs(np.array(got.samples) - _tone(500, 16000, 16000))[200:-200].max() < 1e-2

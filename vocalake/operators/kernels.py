@@ -183,3 +183,107 @@ def mel_features(samples: np.ndarray, rate: int = 16000) -> np.ndarray:
 def linear_features(samples: np.ndarray, rate: int = 16000) -> np.ndarray:
     """(frames, 60): 20 linear cepstra with their slopes and bends, normalised."""
     return with_slopes(linear_cepstra(samples, rate))
+
+
+def constant_q(samples: np.ndarray, rate: int = 16000, hop: int = 256, bins: int = 84, per_octave: int = 12, low: float = 32.7032) -> np.ndarray:
+    """Magnitudes (frames, bins) at frequencies a constant ratio apart, each from windows of the same number of periods around a
+    frame; a sine has half its amplitude."""
+    pitch = low * 2.0 ** (np.arange(bins) / per_octave)
+    if pitch[-1] >= rate / 2:
+        raise ValueError("the highest frequency is above half the rate")
+    samples = np.asarray(samples, dtype=np.float64)
+    periods, frames = 1 / (2 ** (1 / per_octave) - 1), 1 + len(samples) // hop
+    out = np.zeros((frames, bins))
+    for k, hertz in enumerate(pitch):
+        half = int(np.ceil(periods * rate / hertz / 2))
+        at = np.arange(-half, half)
+        wave = (0.5 + 0.5 * np.cos(np.pi * at / half)) * np.exp(-2j * np.pi * hertz * at / rate) / half
+        around = np.lib.stride_tricks.sliding_window_view(np.pad(samples, (half, half + hop)), 2 * half)[::hop]
+        for start in range(0, frames, 1024):
+            out[start : start + 1024, k] = np.abs(around[start : min(start + 1024, frames)] @ wave)
+    return out
+
+
+def constant_q_features(samples: np.ndarray, rate: int = 16000) -> np.ndarray:
+    """(frames, 60): 20 cepstra of constant-Q magnitudes with their slopes and bends, normalised."""
+    return with_slopes(cosine_transform(np.log(np.maximum(constant_q(samples, rate), 1e-10)), 20))
+
+
+def pitch_track(
+    samples: np.ndarray, rate: int = 22050, size: int = 1024, hop: int = 256, low: float = 65.4064, high: float = 2093.0045, threshold: float = 0.1, quiet: float = 0.2
+) -> tuple[np.ndarray, np.ndarray]:
+    """(hertz, root mean square) of centred frames by the YIN method; hertz is 0 where a frame is not above `quiet` of the median level.
+
+    The lag is the first local minimum of the normalised difference below the threshold, else the least of all, moved to the vertex of the
+    parabola through its neighbours. Frames are taken 1,024 at a time.
+    """
+    half, first = size // 2, max(1, int(rate / high))
+    last = min(int(np.ceil(rate / low)), size - half - 1)
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(np.asarray(samples, dtype=np.float64), (half, half + hop)), size)[::hop]
+    frames = frames[: 1 + len(samples) // hop]
+    hertz, level = np.zeros(len(frames)), np.zeros(len(frames))
+    for start in range(0, len(frames), 1024):
+        part = frames[start : start + 1024]
+        level[start : start + 1024] = np.sqrt(np.mean(part * part, axis=1))
+        gap = np.stack([((part[:, :half] - part[:, lag : lag + half]) ** 2).sum(axis=1) for lag in range(1, last + 2)], axis=1)
+        gap *= np.arange(1, last + 2) / np.maximum(np.cumsum(gap, axis=1), 1e-12)
+        here, before, after = (gap[:, first - 1 + s : last + s] for s in (0, -1, 1)) if first > 1 else (gap[:, 1:-1], gap[:, :-2], gap[:, 2:])
+        dip = (here < threshold) & (here < before) & (here <= after)
+        best = np.where(dip.any(axis=1), dip.argmax(axis=1), here.argmin(axis=1))
+        row = np.arange(len(part))
+        a, b, c = before[row, best], here[row, best], after[row, best]
+        bend = a - 2 * b + c
+        shift = np.where(np.abs(bend) > 1e-12, (a - c) / (2 * np.where(bend == 0, 1.0, bend)), 0.0)
+        hertz[start : start + 1024] = rate / (max(first, 2) + best + np.clip(shift, -1, 1))
+    return np.where(level > quiet * np.median(level) if len(level) else False, hertz, 0.0), level
+
+
+def _window(size: int, width: int) -> np.ndarray:
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / width)
+    return np.pad(hann, ((size - width) // 2, size - width - (size - width) // 2))
+
+
+def waveform(power: np.ndarray, rate: int = 16000, size: int = 512, hop: int = 160, width: int | None = None, steps: int = 16, seed: int = 0) -> np.ndarray:
+    """Samples whose mel power spectrum is near `power` (frames, filters); phases by accelerated Griffin-Lim from seeded random ones."""
+    power = np.maximum(np.asarray(power, dtype=np.float64), 0.0)
+    if not len(power):
+        return np.zeros(0)
+    bank = mel_triangles(power.shape[1], size, rate)
+    bins = np.maximum(power @ np.linalg.pinv(bank).T, power @ bank * 1e-3 + 1e-12)
+    for _ in range(32):  # multiplicative steps to the least squares without negative power
+        bins *= (power @ bank) / (bins @ bank.T @ bank + 1e-12)
+    level, window = np.sqrt(bins), _window(size, width or size)
+    at = np.arange(len(power))[:, None] * hop + np.arange(size)
+    weight = np.zeros(int(at[-1, -1]) + 1)
+    np.add.at(weight, at, np.broadcast_to(window**2, at.shape))
+
+    def samples(spectra: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(weight))
+        np.add.at(out, at, np.fft.irfft(spectra, size, axis=1) * window)
+        return out / np.maximum(weight, 1e-8)
+
+    turn = np.exp(2j * np.pi * np.random.default_rng(seed).random(level.shape))
+    last = np.zeros_like(turn)
+    for _ in range(steps):
+        now = np.fft.rfft(samples(level * turn)[at] * window, axis=1)
+        turn = now - 0.99 / 1.99 * last
+        turn, last = turn / np.maximum(np.abs(turn), 1e-12), now
+    return samples(level * turn)[size // 2 : size // 2 + (len(power) - 1) * hop]
+
+
+def resampled(samples: np.ndarray, rate: int, to: int, crossings: int = 32) -> np.ndarray:
+    """Samples at another rate, by a windowed sinc below the lower of the two half rates; ceil(n * to / rate) of them."""
+    samples = np.asarray(samples, dtype=np.float64)
+    if rate == to or not len(samples):
+        return samples
+    cut = min(1.0, to / rate)
+    half = int(np.ceil(crossings / cut))
+    padded, n = np.pad(samples, half), -(-len(samples) * to // rate)
+    out = np.zeros(n)
+    for start in range(0, n, 8192):
+        place = np.arange(start, min(start + 8192, n)) * (rate / to)
+        near = np.floor(place).astype(np.int64)[:, None] + np.arange(-half + 1, half + 1)
+        off = place[:, None] - near
+        weight = cut * np.sinc(cut * off) * (0.5 + 0.5 * np.cos(np.pi * np.clip(off / half, -1, 1)))
+        out[start : start + 8192] = (padded[np.minimum(near + half, len(padded) - 1)] * weight).sum(axis=1)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vocalake.functions.vectors import normalised
-from vocalake.operators.kernels import cepstral_distance, linear_features, mel_features, triangles
+from vocalake.operators.kernels import cepstral_distance, constant_q_features, linear_features, mel_features, pitch_track, triangles, waveform
 
 
 def peak_normalised(frames: DataFrame, level: float = -3.0) -> DataFrame:
@@ -139,13 +139,13 @@ def cepstral_distances(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def features(clips: DataFrame, kind: str = "mel", key: str = "path") -> DataFrame:
-    """(key, frame, dim, x): features of each clip (key, rate, samples array<float>): `mel` (119) or `linear` (60). Clips of under 9 frames have none."""
-    make = {"mel": mel_features, "linear": linear_features}[kind]
+    """(key, frame, dim, x): features of each clip (key, rate, samples array<float>): `mel` (119), `linear` or `constant_q` (60). Clips of under 9 frames have none."""
+    make, hop = {"mel": (mel_features, 160), "linear": (linear_features, 160), "constant_q": (constant_q_features, 256)}[kind]
 
     def work(batches):
         for pdf in batches:
             for name, rate, samples in zip(pdf[key], pdf["rate"], pdf["samples"], strict=True):
-                if len(samples) >= 8 * 160:
+                if len(samples) >= 8 * hop:
                     found = make(np.asarray(samples, dtype=np.float64), int(rate))
                     frame, dim = (k.ravel() for k in np.indices(found.shape))
                     yield pd.DataFrame({key: [name] * found.size, "frame": frame, "dim": dim, "x": found.ravel()})
@@ -153,6 +153,30 @@ def features(clips: DataFrame, kind: str = "mel", key: str = "path") -> DataFram
     return clips.select(key, "rate", "samples").mapInPandas(work, f"{key} {clips.schema[key].dataType.simpleString()}, frame int, dim int, x double")
 
 
+def pitches(clips: DataFrame, key: str = "path") -> DataFrame:
+    """(key, frame, hertz, level) of each clip (key, rate, samples array<float>); hertz is 0 in quiet frames. An empty clip has none."""
+
+    def work(batches):
+        for pdf in batches:
+            for name, rate, samples in zip(pdf[key], pdf["rate"], pdf["samples"], strict=True):
+                if len(samples):
+                    hertz, level = pitch_track(np.asarray(samples, dtype=np.float64), int(rate))
+                    yield pd.DataFrame({key: [name] * len(hertz), "frame": np.arange(len(hertz)), "hertz": hertz, "level": level})
+
+    return clips.select(key, "rate", "samples").mapInPandas(work, f"{key} {clips.schema[key].dataType.simpleString()}, frame int, hertz double, level double")
+
+
+def waveforms(spectra: DataFrame, key: str = "path") -> DataFrame:
+    """(key, rate, samples array<float>) near each mel power spectrum (key, rate, power array<array<double>>, a row per frame)."""
+
+    def work(batches):
+        for pdf in batches:
+            made = [waveform(np.array([list(f) for f in p]), int(r)) for p, r in zip(pdf["power"], pdf["rate"], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "rate": pdf["rate"], "samples": made})
+
+    return spectra.select(key, "rate", "power").mapInPandas(work, f"{key} {spectra.schema[key].dataType.simpleString()}, rate int, samples array<float>")
+
+
 def mean_power(value: Column) -> Column:
     """The root of the mean square, as an aggregate."""
     return F.sqrt(F.avg(value * value) + 1e-12)

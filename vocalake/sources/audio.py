@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from vocalake.operators.kernels import resampled
+
 
 def decode(data: bytes) -> tuple[int, np.ndarray]:
     """(rate, mono samples between -1 and 1) of 8, 16 or 32 bit PCM."""
@@ -36,24 +38,25 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def from_wav(rows: DataFrame, key: str = "path", seconds: float | None = None) -> DataFrame:
-    """(key, rate, samples array<float>) of rows (key, content) that hold WAV files, the first seconds only if asked for."""
+def from_wav(rows: DataFrame, key: str = "path", seconds: float | None = None, to: int | None = None) -> DataFrame:
+    """(key, rate, samples array<float>) of rows (key, content) that hold WAV files, the first seconds only and at the rate `to` if asked for."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
             for name, content in zip(pdf[key], pdf["content"], strict=True):
                 rate, samples = decode(content)
-                found.append((name, rate, samples[: int(seconds * rate)] if seconds else samples))
+                samples = samples[: int(seconds * rate)] if seconds else samples
+                found.append((name, to, resampled(samples, rate, to).astype(np.float32)) if to else (name, rate, samples))
             yield pd.DataFrame(found, columns=[key, "rate", "samples"])
 
     return rows.select(key, "content").mapInPandas(work, f"{key} {rows.schema[key].dataType.simpleString()}, rate int, samples array<float>")
 
 
-def read_wav(spark: SparkSession, path: str, seconds: float | None = None) -> DataFrame:
+def read_wav(spark: SparkSession, path: str, seconds: float | None = None, to: int | None = None) -> DataFrame:
     """(path, rate, samples array<float>) of the WAV files below a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    return from_wav(files, seconds=seconds)
+    return from_wav(files, seconds=seconds, to=to)
 
 
 def as_wav(rows: DataFrame, key: str = "path") -> DataFrame:
