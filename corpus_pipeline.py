@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more, found by SimHash), the document with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
     ("line dedup", lines),
-    ("near-dedup by shingles", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("mixing sources to target weights", mixture),
     ("SentencePiece encoding", tokens),
 ]

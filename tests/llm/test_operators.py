@@ -202,6 +202,45 @@ def test_near_copies_link_from_a_similarity_of_exactly_0_8(spark):
     assert len(near) == 30 + 1 + 1 + 1
 
 
+def splitmix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def test_near_copies_meet_by_covering_masks_of_their_fingerprints(spark):
+    """What _bands lets meet is what the masks of simhash let meet, by whole numbers in plain Python, and is near in 128 bits."""
+    rng, texts = random.Random(21), []
+    for k in range(12):
+        own = [f"w{k}x{i}" for i in range(300)]
+        texts += [" ".join([*own[: 300 - cut], *(f"n{k}x{i}" for i in range(cut))]) for cut in (0, 3, 20, 60, 150)]
+    texts += [" ".join(rng.choices(texts[0].split(), k=300)), "one two", None]
+    sets = [shingles.shingle_set(t).tolist() for t in texts]
+    prints = []
+    for own in sets:
+        words = [[splitmix((h + k * 0x9E3779B97F4A7C15) % 2**64) for h in own] for k in range(1, 25)]
+        prints.append(sum(1 << 64 * k + b for k, word in enumerate(words) for b in range(64) if 2 * sum(x >> b & 1 for x in word) > len(own)))
+    masks = [m for low in range(0, 1536, 24) for m in simhash.covering_masks(list(range(low, low + 24)), 1)]
+    head = [p & (1 << 64) - 1 for p in prints], [p & (1 << 128) - 1 for p in prints]
+    near = lambda i, j: (head[0][i] ^ head[0][j]).bit_count() <= 26 and (head[1][i] ^ head[1][j]).bit_count() <= 42
+    pairs = [(i, j) for i, j in itertools.combinations([k for k, s in enumerate(sets) if s], 2) if near(i, j) and any(prints[i] & m == prints[j] & m for m in masks)]
+    nodes = shingles._nodes(shingles.prints(docs(spark, texts), "doc_id", "text"))
+    key = {r.id: r.least.key for r in nodes.collect()}
+    met = defaultdict(list)
+    for r in shingles._bands(nodes).collect():
+        met[r.band].append(key[r.id])
+    got = {p for own in met.values() for p in itertools.combinations(sorted(own), 2)}
+    assert set(pairs) <= got and union(len(texts), pairs) == union(len(texts), got)
+    assert {(5 * k, 5 * k + c) for k in range(12) for c in (1, 2)} <= got and not any(i // 5 != j // 5 for i, j in got if j < 60)
+
+
+def test_short_texts_that_differ_in_one_shingle_of_five(spark):
+    """Bits of four and five shingles differ more often than an angle says; 4 of 5 is 0.8, 3 of 4 is not."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k in range(400) for n in (9, 8)] + ["a b c d e f g h", "a b c d e f g"]
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect())
+    assert kept == [*range(0, 800, 2), 800, 801]
+
+
 @pytest.mark.parametrize("within", [True, False])
 def test_pairs_that_meet_in_buckets(within, monkeypatch):
     monkeypatch.setattr(shingles, "PAIRS", 7)

@@ -1,13 +1,21 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
-
-Candidates come from MinHash: BANDS keys of ROWS least hashes each, so that a pair of similarity s shares
-no key with chance (1 - s^ROWS)^BANDS, 5 in a million at 0.8. Every link is counted on the whole shingle
-sets. Texts with equal sets are one node. The members of a key's bucket are first compared with its
-smallest node only; of the buckets that this leaves in several components all pairs between those are
-compared. These pairs are neither joined nor sent: nodes of a neighbourhood share a block of bounded size,
-each two blocks that meet in a bucket meet once, with the sets and bucket keys of their nodes, and find
-the pairs themselves. Only spanning links leave the worker. Work grows with the square of a large group of
-texts that are neither copies nor apart, in squares of blocks that are tasks of their own.
+"""Near duplicates by the exact Jaccard similarity of word shingles, among candidates of SimHash by covering masks.
+
+A fingerprint has 64 bits in each of LONGS words, each set if most of the hashes of the shingle set have it. It is cut
+into parts of WIDTH bits, and under one of a part's covering masks what differs in RADIUS of its bits has equal keys:
+with radius 1 there are three masks, each without one third of the part, so that two texts meet in a part of which two
+thirds agree. At a similarity of 0.8 a bit differs with chance p = acos(8/9) / pi = 0.151 at most, and a pair meets
+in none of the 64 parts with chance (1 - 3 u^2 + 2 u^3)^64 for u = (1 - p)^8, 4 in a million. In a bucket of rows with
+equal keys those go on that are near in the first two words, which a pair at 0.8 is not with chance 4 in ten million; the
+rest has met by chance. Of sets of four and five shingles, whose bits differ more often, all pairs that differ in one
+shingle meet.
+
+Every link is counted on the whole shingle sets. Texts with equal sets are one node. The members of a group that has met
+are first compared with its smallest node only; of the groups that this leaves in several components all pairs
+between those are compared. These pairs are neither joined nor sent: nodes of a neighbourhood share a block of bounded
+size, each two blocks that meet in a group meet once, with the sets and groups of their nodes, and find the pairs
+themselves. Only spanning links leave the worker. Work grows with the square of a large group of texts that are neither
+copies nor apart, in squares of blocks that are tasks of their own, and that of comparing fingerprints with the
+square of a bucket, which holds a 65,536th of the nodes where these are unlike each other.
 """
 
 from __future__ import annotations
@@ -17,17 +25,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalake.llm import simhash
 from vocalake.llm.common import connected, mapped, materialised, run_starts, slices, unused, whole_runs
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 6
+#: Words of a fingerprint; bits of a part of it, and how many of them may differ at least.
+LONGS, WIDTH, RADIUS = 24, 24, 1
+#: Bits of the first word, and of the first two, in which a pair that has met may differ to be compared.
+FIRST, BOTH = 26, 42
 SEED = 42
-_PIECE = 2048
+_PIECE = 255
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose sets a worker makes at a time; shingles and nodes of a block of nodes, of which short texts reach
 #: the second first; pairs that a worker holds at a time before they are cut to those that are left to compare.
 TOGETHER, BLOCK, NODES, PAIRS = 1 << 20, 200_000, 2048, 1 << 20
@@ -47,24 +61,40 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED, n)), dtype=np.uint64, count=n))
 
 
-def _multipliers(count: int) -> np.ndarray:
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def set_print(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """The majority bits of a set of hashes, in words that each take another hash of them; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.uint64)
+    steps, ones = np.arange(1, longs + 1, dtype=np.uint64) * _STEP, np.zeros(64 * longs, dtype=np.int64)
+    for start in range(0, len(hashes), _PIECE):  # as many as a byte can count
+        words = simhash._mixed(hashes[start : start + _PIECE, None] + steps)
+        ones += np.unpackbits(words.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A key per band, of the least of its rows' rehashed values; none of an empty set."""
-    if not len(hashes):
-        return np.zeros(0, dtype=np.int64)
-    factors = _multipliers(bands * rows)[:, None]
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(hashes), _PIECE):
-        np.minimum(least, (hashes[None, start : start + _PIECE] * factors).min(axis=1), out=least)
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for value in least.reshape(bands, rows).T:
-        keys = (keys ^ value) * np.uint64(0xBF58476D1CE4E5B9)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+def masks(longs: int = LONGS, width: int = WIDTH, radius: int = RADIUS) -> list[list[int]]:
+    """The bits that each covering mask of each part keeps; bits short of a part at the end are in none."""
+    parts = [list(range(low, low + width)) for low in range(0, 64 * longs - width + 1, width)]
+    return [[b for b in part if mask >> b & 1] for part in parts for mask in simhash.covering_masks(part, radius)]
+
+
+def bucket_keys(prints: np.ndarray, kept: list[list[int]]) -> np.ndarray:
+    """Of each fingerprint (rows of words) a key for each mask: its place and the bits that it keeps, of which there are at most 40."""
+    size = -(-max(map(len, kept)) // 8) * 8
+    bits = np.unpackbits(prints.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+    bits = np.concatenate([bits, np.zeros((len(bits), 1), dtype=np.uint8)], axis=1)
+    places = np.array([[*own, *[-1] * (size - len(own))] for own in kept])
+    found = np.packbits(bits[:, places], axis=2).astype(np.int64)
+    keys = np.broadcast_to(np.arange(len(kept)), found.shape[:2])
+    for k in range(size // 8):
+        keys = keys << 8 | found[:, :, k]
+    return keys
+
+
+def subset_keys(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of four or five hashes, keys of which two such sets share one if they differ in one hash that only one has."""
+    subsets = [hashes] if len(hashes) == 4 else [np.delete(hashes, k) for k in range(5)] if len(hashes) == 5 else []
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in subsets], dtype=np.uint64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -83,8 +113,10 @@ def _row_hash(docs: DataFrame) -> Column:
 
 
 def prints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """(key, row, d0, d1, n, bands): a hash of the row, a 128-bit digest of its shingle set, the set's size and its keys."""
-    fields = [("key", docs.schema[key].dataType), ("row", T.LongType()), ("d0", T.LongType()), ("d1", T.LongType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType()))]
+    """(key, row, d0, d1, n, print, subsets): a hash of the row, a 128-bit digest of its shingle set, the set's size, its fingerprint
+    and subset keys."""
+    fields = [("key", docs.schema[key].dataType), *((name, T.LongType()) for name in ("row", "d0", "d1")), ("n", T.IntegerType())]
+    fields += [(name, T.ArrayType(T.LongType())) for name in ("print", "subsets")]
     names = [name for name, _ in fields]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +124,18 @@ def prints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> Data
             for batch in slices(whole, 2, TOGETHER):
                 sets = [shingle_set(x.as_py(), shingle) for x in batch.column(2)]
                 sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                arrays = [batch.column(0), batch.column(1), *map(pa.array, _digests(sets)), pa.array(sizes), _lists([band_keys(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                arrays = [batch.column(0), batch.column(1), *map(pa.array, _digests(sets)), pa.array(sizes)]
+                yield pa.RecordBatch.from_arrays([*arrays, _lists([set_print(s) for s in sets]), _lists([subset_keys(s) for s in sets])], names)
 
     schema = T.StructType([T.StructField(name, kind) for name, kind in fields])
     return mapped(docs.select(F.col(f"`{key}`").alias("key"), _row_hash(docs).alias("row"), F.col(f"`{text}`").alias("text")), batches, schema)
 
 
 def _nodes(found: DataFrame) -> DataFrame:
-    """(id, d0, d1, n, row, least, bands): one row per different set; least: its row with the smallest key, nulls last, then by hash."""
+    """(id, d0, d1, n, row, least, print, subsets): one row per different set; least: its row with the smallest key, nulls last, then by hash."""
     order = F.struct(F.col("key").isNull().alias("none"), "key", F.col("row").alias("by"))
-    nodes = found.groupBy("d0", "d1").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    return materialised(nodes.select(F.monotonically_increasing_id().alias("id"), "d0", "d1", "n", F.col("least.by").alias("row"), "least", "bands"), "nodes")
+    nodes = found.groupBy("d0", "d1").agg(F.min(order).alias("least"), *(F.first(name).alias(name) for name in ("n", "print", "subsets")))
+    return materialised(nodes.select(F.monotonically_increasing_id().alias("id"), "d0", "d1", "n", F.col("least.by").alias("row"), "least", "print", "subsets"), "nodes")
 
 
 def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -123,6 +155,68 @@ def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFr
     return materialised(made.dropDuplicates(["id"]), "sets")
 
 
+# ---------------------------------------------------------------- meeting
+
+
+def _bucketed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (id, print) to (id, w0, w1, buckets)."""
+    kept = masks()
+    for whole in source:
+        for low in range(0, whole.num_rows, 1024):
+            batch = whole.slice(low, 1024)
+            words = pc.list_flatten(batch.column(1)).to_numpy().view(np.uint64).reshape(-1, LONGS)
+            arrays = [batch.column(0), *(pa.array(words[:, k].view(np.int64)) for k in range(2)), _lists(list(bucket_keys(words, kept)))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "w0", "w1", "buckets"])
+
+
+def near_labels(start: np.ndarray, w0: np.ndarray, w1: np.ndarray, first: int = FIRST, both: int = BOTH) -> np.ndarray:
+    """The first row of its group for each row: rows of a bucket are of one group if they are linked by rows that differ in few bits.
+
+    start: the bucket's first row, of each row. A bucket is left as soon as it is one group.
+    """
+    size = len(start)
+    end = np.searchsorted(start, start, "right")
+    label, active, step = np.arange(size), np.arange(size), 1
+    while len(active := active[active + step < end[active]]):
+        other = active + step
+        apart = np.bitwise_count(w0[active] ^ w0[other])
+        near = np.flatnonzero(apart <= first)
+        near = near[apart[near] + np.bitwise_count(w1[active[near]] ^ w1[other[near]]) <= both]
+        one, two = label[active[near]], label[other[near]]
+        if (one != two).any():
+            while (one != two).any():
+                np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+                while (label != (up := label[label])).any():
+                    label = up
+                one, two = label[one], label[two]
+            groups = np.bincount(start, label == np.arange(size), minlength=size)
+            active = active[groups[start[active]] > 1]
+        step += 1
+    return label
+
+
+def _groups(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (bucket, id, w0, w1) sorted by the first to (band, id): groups of two nodes or more, under a hash of their nodes."""
+    for batch in whole_runs(source, 1):
+        ids, (w0, w1) = batch.column(1).to_numpy(), (batch.column(k).to_numpy().view(np.uint64) for k in (2, 3))
+        starts = run_starts(batch, 1)
+        label = near_labels(np.repeat(starts[:-1], np.diff(starts)), w0, w1)
+        met = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        met = met[np.lexsort((ids[met], label[met]))]
+        cuts = np.r_[0, np.flatnonzero(np.diff(label[met])) + 1, len(met)] if len(met) else np.zeros(1, dtype=np.int64)
+        bands = [xxhash.xxh3_64_intdigest(ids[met[s:e]].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False)]
+        bands = np.repeat(np.array(bands, dtype=np.uint64).view(np.int64), np.diff(cuts))
+        yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(ids[met])], ["band", "id"])
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    """(band, id, n) of the nodes that meet others, once for each group of the same nodes."""
+    dealt = mapped(nodes.filter("n > 0").select("id", "print"), _bucketed, "id long, w0 long, w1 long, buckets array<long>")
+    dealt = dealt.select(F.explode("buckets").alias("bucket"), "id", "w0", "w1").repartition("bucket").sortWithinPartitions("bucket")
+    met = materialised(mapped(dealt, _groups, "band long, id long").distinct(), "groups")
+    return met.union(nodes.select(F.explode("subsets"), "id")).join(nodes.select("id", "n"), "id").select("band", "id", "n")
+
+
 # ---------------------------------------------------------------- comparing
 
 def _compared(ids: np.ndarray, sets: list[np.ndarray], asked: Iterable[tuple[int, np.ndarray]], similarity: float) -> tuple[list[int], list[int]]:
@@ -259,7 +353,7 @@ def _named(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _roots(docs: DataFrame, text: str, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, root) of the nodes that link to another."""
-    rows = nodes.select(F.explode("bands").alias("band"), "id", "n")
+    rows = _bands(nodes)
     hubs = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
     met = materialised(rows.join(hubs, "band").select("band", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "met")
     anchored = met.groupBy("id").agg(F.min("hub").alias("anchor"), F.first("n").alias("n"))

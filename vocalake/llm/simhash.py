@@ -23,7 +23,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocalake.llm import shingles
 from vocalake.llm.common import connected, mapped, materialised, unused
 
 #: Buckets above this size are dealt anew by further masks over their free bits.
@@ -300,6 +299,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Pla
     a key the one with the smallest hash stays, and of rows without a key one of each text.
     """
     if plan is None:
+        from vocalake.llm import shingles  # which takes the masks from here
+
         return shingles.keep_one(docs, key, text)
     named = docs.filter(F.col(f"`{key}`").isNotNull())
     kept, place = unused("kept_key", docs.columns), unused("place", docs.columns)
