@@ -266,6 +266,34 @@ def test_short_texts_in_many_blocks(spark, monkeypatch):
     assert 5 < len(set(union(len(texts), near))) < 55
 
 
+def test_near_prints_count_all_bits():
+    rng = np.random.default_rng(5)
+    one = np.r_[rng.integers(-(2**63), 2**63 - 1, shingles.LONGS), 9]
+    others = np.repeat(one[None, :], 4, axis=0)
+    for row, bits in enumerate((shingles.ALL, shingles.ALL + 1, 1536, 1536)):
+        for b in range(1536 - bits, 1536):
+            others[row, b // 64] ^= np.int64(-(2**63)) if b % 64 == 63 else np.int64(1 << b % 64)
+    others[3, -1] = shingles.SHORT
+    assert shingles.near_prints(one, others).tolist() == [True, False, False, True]
+
+
+def test_sets_are_sent_only_of_texts_that_can_link(spark, monkeypatch):
+    """A group of texts that meet at a similarity of about a half, in many blocks, and a link in it: only the linked are compared as sets,
+    and no join makes more rows than the nodes have in their groups or in their pairs of blocks."""
+    made, rows = [], {}
+    monkeypatch.setattr(shingles, "NODES", 5)
+    sets, kept = shingles._sets, shingles.materialised
+    monkeypatch.setattr(shingles, "_sets", lambda docs, text, shingle, wanted: made.append(wanted.count()) or sets(docs, text, shingle, wanted))
+    monkeypatch.setattr(shingles, "materialised", lambda df, tag: rows.setdefault(tag, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, tag))
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base, *(f"x{k}y{i}" for i in range(100))]) for k in range(60)]
+    texts.append(texts[7] + " end")
+    got = {r.key: r.component_id for r in shingles.components(docs(spark, texts)).collect()}
+    assert got == {k: 7 if k == 60 else k for k in range(61)}
+    assert sum(made) == 2
+    assert not any("Join Inner, ((band" in line and "block" in line for plans in rows.values() for plan in plans for line in plan.split("\n"))
+
+
 # ---------------------------------------------------------------- mixing
 
 

@@ -12,8 +12,10 @@ shingle meet.
 Every link is counted on the whole shingle sets. Texts with equal sets are one node. The members of a group that has met
 are first compared with its smallest node only; of the groups that this leaves in several components all pairs
 between those are compared. These pairs are neither joined nor sent: nodes of a neighbourhood share a block of bounded
-size, each two blocks that meet in a group meet once, with the sets and groups of their nodes, and find the pairs
-themselves. Only spanning links leave the worker. Work grows with the square of a large group of texts that are neither
+size, each two blocks that meet in a group meet once, with the fingerprints and groups of their nodes, and find the pairs
+themselves. Either time whole fingerprints are compared first, and sets are made and sent only of nodes with a pair that is
+within ALL bits, which one at 0.8 is not with chance 2 in ten billion at most (sets of up to five shingles are always
+compared). Only spanning links leave the worker. Work grows with the square of a large group of texts that are neither
 copies nor apart, in squares of blocks that are tasks of their own, and that of comparing fingerprints with the
 square of a bucket, which holds a 65,536th of the nodes where these are unlike each other.
 """
@@ -39,12 +41,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 LONGS, WIDTH, RADIUS = 24, 24, 1
 #: Bits of the first word, and of the first two, in which a pair that has met may differ to be compared.
 FIRST, BOTH = 26, 42
+#: Bits of the whole fingerprint in which a pair may differ to be compared, and the size up to which sets are compared anyway.
+ALL, SHORT = 340, 5
 SEED = 42
 _PIECE = 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose sets a worker makes at a time; shingles and nodes of a block of nodes, of which short texts reach
 #: the second first; pairs that a worker holds at a time before they are cut to those that are left to compare.
 TOGETHER, BLOCK, NODES, PAIRS = 1 << 20, 200_000, 2048, 1 << 20
+#: Leading bits of a row's hash by which rows are passed over that are not wanted, before their texts are sent.
+SIFT = 23
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -138,6 +144,23 @@ def _nodes(found: DataFrame) -> DataFrame:
     return materialised(nodes.select(F.monotonically_increasing_id().alias("id"), "d0", "d1", "n", F.col("least.by").alias("row"), "least", "print", "subsets"), "nodes")
 
 
+def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (row, text) without most of those whose row is not wanted: a bit for each value of the first SIFT bits says whether one is."""
+    at = f"shiftrightunsigned(row, {64 - SIFT})"
+    words = wanted.groupBy(F.expr(f"shiftright({at}, 6)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 as int)))").alias("bits"))
+    there = np.zeros(1 << (SIFT - 6), dtype=np.int64)
+    for word, bits in words.collect():
+        there[word] = bits
+    there = there.view(np.uint64)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            own = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIFT)
+            yield batch.filter(pa.array(there[own >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1) > 0))
+
+    return mapped(rows, batches, rows.schema)
+
+
 def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
     """(id, hashes) of the wanted nodes (id, d0, d1, row), made anew from the text of their row."""
 
@@ -150,7 +173,8 @@ def _sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFr
                 kept = pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["id", "hashes"])
                 yield kept.filter(pa.array(same))
 
-    rows = docs.select(_row_hash(docs).alias("row"), F.col(f"`{text}`").alias("text")).join(wanted, "row")
+    wanted = materialised(wanted, "wanted")
+    rows = _sifted(docs.select(_row_hash(docs).alias("row"), F.col(f"`{text}`").alias("text")), wanted).join(wanted, "row")
     made = mapped(rows.select("id", "d0", "d1", "text"), batches, "id long, hashes array<long>")
     return materialised(made.dropDuplicates(["id"]), "sets")
 
@@ -251,6 +275,33 @@ def _compared(ids: np.ndarray, sets: list[np.ndarray], asked: Iterable[tuple[int
     return links
 
 
+def near_prints(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the fingerprints (rows of words, the size of the set last) are near one, or are of sets too small to tell."""
+    apart = np.bitwise_count((others[:, :-1] ^ one[:-1]).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it counts the absolute value's
+    return (apart <= ALL) | (np.minimum(others[:, -1], one[-1]) <= SHORT)
+
+
+def _near(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (low, high, kind, id, longs) sorted by the first two to (low, high, a, b): kind 0 has the fingerprints of nodes,
+    kind 1 the nodes that one is to be compared with, of which those that are near it are kept."""
+    for batch in whole_runs(source, 2):
+        kind, ids, longs = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
+        border, flat = longs.offsets.to_numpy(), longs.values.to_numpy()
+        starts, asking, kept = run_starts(batch, 2), [], []
+        for low, high in zip(starts, starts[1:], strict=False):
+            rows = np.arange(low, high)
+            own = rows[kind[low:high] == 0]
+            at, prints = {x: k for k, x in enumerate(ids[own].tolist())}, np.array([flat[border[r] : border[r + 1]] for r in own])
+            for r in rows[kind[low:high] == 1]:
+                others = flat[border[r] : border[r + 1]]
+                others = others[near_prints(prints[at[int(ids[r])]], prints[[at[x] for x in others.tolist()]])]
+                if len(others):
+                    asking.append(r)
+                    kept.append(others)
+        place = pa.array(np.array(asking, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(place) for k in (0, 1, 3)), _lists(kept)], ["low", "high", "a", "b"])
+
+
 def _linked(similarity: float):
     """Arrow batches (low, high, kind, id, longs) sorted by the first two to spanning links (a, b): kind 0 has the sets of nodes,
     kind 1 the nodes that one is to be compared with."""
@@ -309,18 +360,41 @@ def _met_pairs(band: np.ndarray, at: np.ndarray, first: np.ndarray, root: np.nda
         yield int(one[low]), other[low:high]
 
 
+def _near_pairs(batch: pa.RecordBatch, s: int, e: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """What _met_pairs finds in rows s to e (low, high, block, id, n, root, bands, print) of one pair of blocks, if it is near."""
+    low, high, block, _, n, root = (batch.column(k).slice(s, e - s).to_numpy() for k in range(6))
+    bands, prints = (batch.column(k).slice(s, e - s) for k in (6, 7))
+    at = np.repeat(np.arange(e - s), np.diff(bands.offsets.to_numpy()))
+    prints = prints.flatten().to_numpy().reshape(e - s, -1)
+    for k, others in _met_pairs(bands.flatten().to_numpy(), at, block == low[0], root, n, low[0] == high[0], similarity):
+        if len(others := others[near_prints(prints[k], prints[others])]):
+            yield k, others
+
+
+def _near_nodes(similarity: float):
+    """Arrow batches (low, high, block, id, n, root, bands, print) sorted by the first two to (low, high, id) of what has a near pair in them."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(source, 2):
+            starts, has = run_starts(batch, 2), np.zeros(batch.num_rows, dtype=bool)
+            for s, e in zip(starts, starts[1:], strict=False):
+                for k, others in _near_pairs(batch, s, e, similarity):
+                    has[s + k] = has[s + others] = True
+            yield batch.select([0, 1, 3]).filter(pa.array(has))
+
+    return batches
+
+
 def _linked_blocks(similarity: float):
-    """Arrow batches (low, high, block, id, n, root, bands, hashes) sorted by the first two to spanning links (a, b) of what meets in them."""
+    """Arrow batches (low, high, block, id, n, root, bands, print, hashes) sorted by the first two to spanning links (a, b) of what meets in them."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(source, 2):
-            low, high, block, ids, n, root = (batch.column(k).to_numpy() for k in range(6))
-            keys, hashes = batch.column(6), batch.column(7)
-            border, flat, ends, sets = keys.offsets.to_numpy(), keys.values.to_numpy(), hashes.offsets.to_numpy(), hashes.values.to_numpy()
+            ids, hashes = batch.column(3).to_numpy(), batch.column(8)
+            ends, sets = hashes.offsets.to_numpy(), hashes.values.to_numpy()
             starts, out = run_starts(batch, 2), ([], [])
             for s, e in zip(starts, starts[1:], strict=False):
-                at = np.repeat(np.arange(e - s), np.diff(border[s : e + 1]))
-                asked = _met_pairs(flat[border[s] : border[e]], at, block[s:e] == low[s], root[s:e], n[s:e], low[s] == high[s], similarity)
+                asked = _near_pairs(batch, s, e, similarity)
                 links = _compared(ids[s:e], [sets[ends[r] : ends[r + 1]] for r in range(s, e)], asked, similarity)
                 for column, more in zip(out, links, strict=True):
                     column += more
@@ -329,15 +403,15 @@ def _linked_blocks(similarity: float):
     return batches
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, tag: str) -> DataFrame:
-    """Spanning links (a, b) among rows (low, high, a, b) of a node and its partners: each set goes once to each two blocks that need it."""
-    pairs = materialised(pairs, f"{tag}-pairs")
-    by_blocks = pairs.repartition("low", "high").sortWithinPartitions("low", "high")
-    wanted = mapped(by_blocks, _named, "low long, high long, id long")
-    own = wanted.join(sets, "id").select("low", "high", F.lit(0).alias("kind"), "id", F.col("hashes").alias("longs"))
-    both = own.union(pairs.select("low", "high", F.lit(1), "a", "b"))
-    dealt = both.repartition("low", "high").sortWithinPartitions("low", "high")
-    return materialised(mapped(dealt, _linked(similarity), "a long, b long"), f"{tag}-links")
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("low", "high").sortWithinPartitions("low", "high")
+
+
+def _with_own(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows (low, high, a, b) of a node and its partners, with a row (id, longs) of each node once for each two blocks that need it."""
+    wanted = mapped(_by_blocks(pairs), _named, "low long, high long, id long")
+    own = wanted.join(own, "id").select("low", "high", F.lit(0).alias("kind"), "id", "longs")
+    return _by_blocks(own.union(pairs.select("low", "high", F.lit(1), "a", "b")))
 
 
 def _named(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,28 +434,34 @@ def _roots(docs: DataFrame, text: str, nodes: DataFrame, similarity: float, shin
     blocks = anchored.groupBy("anchor").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / NODES)).alias("parts"))
     blocks = anchored.join(blocks, "anchor").select("id", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.greatest("parts", F.lit(1)))).alias("block"))
     blocks = materialised(blocks, "blocks")
-    sets = _sets(docs, text, shingle, blocks.select("id").join(nodes.select("id", "d0", "d1", "row"), "id"))
+    known = nodes.select("id", "d0", "d1", "row")
+    whole = nodes.select("id", F.concat("print", F.array(F.col("n").cast("long"))).alias("longs"))
 
     fit = F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - 1e-6
     first = met.filter("id <> hub").filter(fit).select("id", "hub").distinct()
     first = first.join(blocks, "id").join(blocks.select(F.col("id").alias("hub"), F.col("block").alias("hub_block")), "hub")
     first = first.groupBy(F.least("block", "hub_block").alias("low"), F.greatest("block", "hub_block").alias("high"), F.col("id").alias("a")).agg(F.collect_list("hub").alias("b"))
-    links = _confirmed(first, sets, similarity, "hub")
+    first = _with_own(materialised(first, "hub-pairs"), whole)
+    first = materialised(mapped(first, _near, "low long, high long, a long, b array<long>"), "hub-near")
+    sets = _sets(docs, text, shingle, first.select(F.explode(F.concat("b", F.array("a"))).alias("id")).distinct().join(known, "id"))
+    links = _with_own(first, sets.withColumnRenamed("hashes", "longs"))
+    links = materialised(mapped(links, _linked(similarity), "a long, b long"), "hub-links")
     joined = connected(links, "hub-components")
 
     left = met.select("band", "id", "n").join(joined, met["id"] == joined["node"], "left").join(blocks, "id")
     left = materialised(left.select("band", "id", "n", F.coalesce("root", "id").alias("root"), "block"), "left")
-    split = left.groupBy("band").agg((F.min("root") < F.max("root")).alias("split")).filter("split").drop("split")
-    left = left.join(split, "band")
-    there = left.select("band", "block").distinct()
-    meet = there.join(there.withColumnRenamed("block", "other"), "band")
-    rows = left.join(meet, ["band", "block"])
-    rows = rows.groupBy(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id").agg(
-        F.first("n").alias("n"), F.first("root").alias("root"), F.collect_list("band").alias("bands")
+    there = left.groupBy("band").agg((F.min("root") < F.max("root")).alias("split"), F.sort_array(F.collect_set("block")).alias("there"))
+    left = left.join(there.filter("split").drop("split"), "band").groupBy("id").agg(
+        *(F.first(name).alias(name) for name in ("block", "n", "root")), F.collect_list("band").alias("bands"), F.array_distinct(F.flatten(F.collect_set("there"))).alias("others")
     )
-    rows = rows.join(sets, "id").select("low", "high", "block", "id", "n", "root", "bands", "hashes")
-    rows = rows.repartition("low", "high").sortWithinPartitions("low", "high")
-    rest = materialised(mapped(rows, _linked_blocks(similarity), "a long, b long"), "rest-links")
+    left = materialised(left.join(whole, "id"), "rest")
+    pair = (F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    near = left.withColumn("other", F.explode("others")).select(*pair, "block", "id", "n", "root", "bands", "longs")
+    near = materialised(mapped(_by_blocks(near), _near_nodes(similarity), "low long, high long, id long"), "rest-near")
+    more = near.select("id").distinct().join(sets.select("id"), "id", "left_anti")
+    sets = sets.union(_sets(docs, text, shingle, more.join(known, "id")))
+    rows = near.join(left, "id").join(sets, "id").select("low", "high", "block", "id", "n", "root", "bands", "longs", "hashes")
+    rest = materialised(mapped(_by_blocks(rows), _linked_blocks(similarity), "a long, b long"), "rest-links")
     return connected(links.union(rest), "shingle-components")
 
 
