@@ -66,9 +66,10 @@ def snr_sweep(frames: DataFrame, epsilons: list[float]) -> DataFrame:
     """(clip_id, epsilon, snr_db, flipped): each clip's z-normed values with a step of epsilon against their sign.
 
     flipped is the share of frames whose sign changes. The grid is a short list and joined by broadcast.
+    A value at its clip's mean has a sign that hangs on the sum's last bit, so sums go by frame, whatever the splits of the input.
     """
-    stats = frames.groupBy("clip_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    z = frames.join(stats, "clip_id").select("clip_id", ((F.col("value") - F.col("mean")) / (F.col("sd") + 1e-6)).alias("x"))
+    clip = W.partitionBy("clip_id").orderBy("frame").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    z = frames.select("clip_id", ((F.col("value") - F.avg("value").over(clip)) / (F.stddev_pop("value").over(clip) + 1e-6)).alias("x"))
     grid = frames.sparkSession.createDataFrame([(e,) for e in epsilons], "epsilon double")
     rows = z.crossJoin(F.broadcast(grid)).withColumn("noise", -F.col("epsilon") * F.signum("x"))
     return rows.groupBy("clip_id", "epsilon").agg(
