@@ -85,20 +85,37 @@ def logprob(asked: DataFrame, grams: DataFrame, standard: bool = False) -> DataF
     """asked's rows (w, c1, c2, ...) with logp, the natural log of the probability of w after c2 c1.
 
     Each different (c2, c1, w) is looked up once. standard: the continuation share is distinct left
-    neighbours over pair types, not the default's contexts of all orders over pair tokens.
+    neighbours over pair types, not the default's contexts of all orders over pair tokens. The counts are
+    gone through once: what each gram says (c: its count, f: a follower of its context, l: a left context
+    of its last word, t: the total of pairs) is kept where it is asked for and summed.
     """
-    table = grams.select("gram", "cnt").join(followers(grams).withColumnRenamed("context", "gram"), "gram", "left")
-    total = grams.filter("n = 2").agg(F.coalesce((F.count("*") if standard else F.sum("cnt")), F.lit(0)).alias("total"))
-    each = asked.select("w", "c1", "c2").distinct()
-    each = each.withColumns({"k1": F.col("c1"), "g1": F.concat_ws(" ", "c1", "w"), "k2": F.expr("c2 || ' ' || c1"), "g2": F.expr("c2 || ' ' || c1 || ' ' || w")})
-    each = each.join(left_contexts(grams, standard).withColumnRenamed("word", "w"), "w", "left").crossJoin(F.broadcast(total))
-    for k in ("k1", "g1", "k2", "g2"):
-        each = each.join(table.select(F.col("gram").alias(k), F.col("cnt").alias(f"{k}_n"), F.col("n_followers").alias(f"{k}_f")), k, "left")
-    low = F.greatest(F.coalesce(F.col("n_left"), F.lit(0)) / F.greatest("total", F.lit(1)), F.lit(FLOOR))
+    text, pair = F.col("gram"), F.col("n") == 2
+    context = F.expr("substr(gram, 1, length(gram) - length(substring_index(gram, ' ', -1)) - 1)")
+
+    def said(kind: str, key: Column, value: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), (F.lit(None).cast("string") if value is None else value).alias("value"))
+
+    facts = F.array(
+        said("c", text),
+        F.when(F.col("n") >= 2, said("f", context)),
+        F.when(pair if standard else F.col("n") >= 2, said("l", F.substring_index("gram", " ", -1), F.substring_index("gram", " ", 1))),
+        F.when(pair, said("t", F.lit(""))),
+    )
+    facts = grams.select(F.explode(F.filter(facts, lambda f: f.isNotNull())).alias("s"), "cnt").select("s.*", "cnt")
+    asks = {"left": ("l", F.col("w")), "total": ("t", F.lit("")), "k1_n": ("c", F.col("c1")), "k1_f": ("f", F.col("c1")), "g1_n": ("c", F.concat_ws(" ", "c1", "w"))}
+    asks |= {"k2_n": ("c", F.expr("c2 || ' ' || c1")), "k2_f": ("f", F.expr("c2 || ' ' || c1")), "g2_n": ("c", F.expr("c2 || ' ' || c1 || ' ' || w"))}
+    slots = F.array(*[F.struct(F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), key.alias("key")) for slot, (kind, key) in asks.items()])
+    each = asked.select("w", "c1", "c2").distinct().select("w", "c1", "c2", F.explode(F.filter(slots, lambda s: s["key"].isNotNull())).alias("s")).select("w", "c1", "c2", "s.*")
+    told = facts.join(each.select("kind", "key").distinct(), ["kind", "key"]).groupBy("kind", "key", "value").agg(F.count("*").alias("types"), F.sum("cnt").alias("tokens"))
+    told = told.groupBy("kind", "key").agg(F.count("*").alias("values"), F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
+    number = F.when(F.col("kind") == "l", F.col("values")).when((F.col("kind") == "f") | ((F.col("kind") == "t") & F.lit(standard)), F.col("types")).otherwise(F.col("tokens"))
+    met = each.join(told.select("kind", "key", number.alias("number")), ["kind", "key"], "left").groupBy("w", "c1", "c2")
+    each = met.agg(*[F.coalesce(F.max(F.when(F.col("slot") == slot, F.col("number"))), F.lit(0)).alias(slot) for slot in asks])
+    low = F.greatest(F.col("left") / F.greatest("total", F.lit(1)), F.lit(FLOOR))
     for k, g in (("k1", "g1"), ("k2", "g2")):
-        own = F.greatest(F.coalesce(F.col(f"{g}_n"), F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col(f"{k}_n")
-        back = DISCOUNT * F.coalesce(F.col(f"{k}_f"), F.lit(0)) / F.col(f"{k}_n")
-        low = F.when(F.coalesce(F.col(f"{k}_n"), F.lit(0)) == 0, low).otherwise(own + back * low)
+        own = F.greatest(F.col(f"{g}_n") - DISCOUNT, F.lit(0.0)) / F.col(f"{k}_n")
+        back = DISCOUNT * F.col(f"{k}_f") / F.col(f"{k}_n")
+        low = F.when(F.col(f"{k}_n") == 0, low).otherwise(own + back * low)
     found = each.select(F.col("w").alias("w_"), F.col("c1").alias("c1_"), F.col("c2").alias("c2_"), F.log(F.greatest(low, F.lit(LEAST))).alias("logp"))
     same = F.col("w").eqNullSafe(F.col("w_")) & F.col("c1").eqNullSafe(F.col("c1_")) & F.col("c2").eqNullSafe(F.col("c2_"))
     return asked.join(found, same).select(*asked.columns, "logp")
