@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from vocalake.functions.vectors import normalised
 from vocalake.operators.kernels import cepstral_distance, constant_q_features, linear_features, mel_features, pitch_track, triangles, waveform
 
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def peak_normalised(frames: DataFrame, level: float = -3.0) -> DataFrame:
     """(clip_id, frame, value) scaled so that the clip's peak is at the level in decibels of full scale."""
@@ -128,15 +131,29 @@ def spectral_subtraction(rows: DataFrame, clip: str, frame: str, noise_frames: i
     return joined.select(clip, frame, "dim", F.greatest(F.col("x") - alpha * F.coalesce("noise", F.lit(0.0)), beta * F.col("x")).alias("clean"))
 
 
+#: Numbers of the pairs that are sent to a worker at once, about; a longer pair goes alone.
+PAIR_NUMBERS = 1 << 18
+
+
 def cepstral_distances(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, mcd) of rows (key, a, b), a and b being arrays of coefficient arrays."""
+    """(key, mcd) of rows (key, a, b), a and b being arrays of coefficient arrays.
 
-    def work(batches):
-        for pdf in batches:
-            found = [cepstral_distance(np.array([list(v) for v in a]), np.array([list(v) for v in b])) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            yield pd.DataFrame({key: pdf[key], "mcd": found})
+    A record batch holds so many pairs, whatever their length, as packed numbers.
+    """
 
-    return pairs.mapInPandas(work, f"{key} {pairs.schema[key].dataType.simpleString()}, mcd double")
+    def matrix(cell: pa.ListScalar) -> np.ndarray:
+        frames = cell.values
+        return np.asarray(frames.flatten(), dtype=np.float64).reshape(len(frames), -1) if len(frames) else np.zeros((0, 1))
+
+    def work(batches):
+        for batch in batches:
+            found = [cepstral_distance(matrix(a), matrix(b)) for a, b in zip(batch["a"], batch["b"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(found, pa.float64())], [key, "mcd"])
+
+    conf = pairs.sparkSession.conf
+    if conf.get(_BATCH_LIMIT, None) is None:
+        conf.set(_BATCH_LIMIT, str(8 * PAIR_NUMBERS))
+    return pairs.select(key, "a", "b").mapInArrow(work, f"{key} {pairs.schema[key].dataType.simpleString()}, mcd double")
 
 
 def features(clips: DataFrame, kind: str = "mel", key: str = "path") -> DataFrame:
